@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, pii, quality
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_pii": pii.op3_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op10_quality": quality.ORACLE,
 }
