@@ -95,6 +95,5 @@ def by_rows(rows_of, n_chars: int = 4_000_000):
                 held += n
             if start < len(sizes):
                 yield from rows_of(batch.slice(start))
-        del pa
 
     return over
