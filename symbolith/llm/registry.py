@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, pii, quality
+from . import bpe, exact_dedup, langid, mixing, pii, quality, simhash
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_mixing": mixing.op2_mixing,
     "op3_pii": pii.op3_pii,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_simhash": simhash.op5_simhash,
     "op6_bpe": bpe.op6_bpe,
     "op10_quality": quality.op10_quality,
 }
