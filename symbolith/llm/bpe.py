@@ -27,6 +27,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_rows, ship
 
@@ -180,17 +181,16 @@ def model(path: str) -> PairIndexBpe:
 def encoded(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """docs with the token ids of each text as a last column, an array of integers."""
     ship(docs.sparkSession)
-    at = docs.columns.index(text_col)
+    plain = docs.drop(ids_col) if ids_col in docs.columns else docs
+    at = plain.columns.index(text_col)
 
-    def over(batches):
+    def rows(batch):
         import pyarrow as pa
 
-        for batch in batches:
-            ids = [list(map(int, t[0].split(","))) if t[0] else [] for t in model(path).encode_batch(batch.column(at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, ids_col])
+        ids = [list(map(int, t[0].split(","))) if t[0] else [] for t in model(path).encode_batch(batch.column(at).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, ids_col])
 
-    plain = docs.drop(ids_col) if ids_col in docs.columns else docs
-    return plain.mapInArrow(over, plain.schema.add(ids_col, "array<int>"))
+    return plain.mapInArrow(by_rows(rows, at=at), T.StructType([*plain.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -77,8 +77,8 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def by_rows(rows_of, n_chars: int = 4_000_000):
-    """A function for mapInArrow that hands rows_of whole batches of about n_chars characters of column 1 (a
+def by_rows(rows_of, n_chars: int = 4_000_000, at: int = 1):
+    """A function for mapInArrow that hands rows_of whole batches of about n_chars characters of column `at` (a
     text) at most, one text at least, and yields what it returns."""
 
     def over(batches):
@@ -86,7 +86,7 @@ def by_rows(rows_of, n_chars: int = 4_000_000):
         import pyarrow.compute as pc
 
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
             start, held = 0, 0
             for i, n in enumerate(sizes):
                 if held and held + n > n_chars:
