@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, langid, mixing, pii, quality, simhash
+from . import bpe, exact_dedup, html_extract, langid, mixing, pii, quality, simhash
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_bpe": bpe.op6_bpe,
+    "op7_html": html_extract.op7_html,
     "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {
