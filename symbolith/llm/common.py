@@ -45,6 +45,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Let the driver find the shuffles that nothing refers to any more, so that executors delete their files now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """df with ROW_KEY, the file and the position that each row was read from. Unlike a running number this
     stays the same when a task is repeated elsewhere. A frame that doesn't come from files is written first."""

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_FILE, ROW_INDEX, by_rows, keyed, ship, stash
+from .common import ROW_FILE, ROW_INDEX, by_rows, free, keyed, ship, stash
 
 WIDTH, GRAM, GROUP, SHARDS, CHUNK, LARGE = 50, 24, 512, 4, 1_500_000, 12_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -250,17 +250,16 @@ def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
 
 
 def resolved(anchor: np.ndarray, strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """least_ids for strings sorted by anchor, some anchors at a time; windows of different anchors can't be equal."""
-    sizes = np.cumsum([0, *map(len, strings)])
-    cuts = [0, *(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(strings)]
-    out, start = [], 0
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if sizes[b] - sizes[start] >= CHUNK or b == len(strings):
-            if sizes[b] - sizes[start] > LARGE:
-                out += in_parts(strings[start:b], ids[start:b])
-            else:
-                out += least_ids(strings[start:b], ids[start:b])
-            start = b
+    """least_ids for the strings of whole anchors, sorted by anchor. An anchor's only string meets no other one."""
+    new = np.r_[True, anchor[1:] != anchor[:-1], True]
+    alone = new[1:] & new[:-1]
+    several = np.flatnonzero(~alone)
+    out: list[np.ndarray] = [ids[k : k + 1] for k in range(len(strings))]
+    if len(several):
+        own = [strings[k] for k in several]
+        found = (in_parts if sum(map(len, own)) > LARGE else least_ids)(own, ids[several])
+        for k, x in zip(several.tolist(), found, strict=True):
+            out[k] = x[:1] if (x == x[0]).all() else x
     return out
 
 
@@ -281,7 +280,8 @@ def in_parts(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
 
 
 def window_ids(strings: DataFrame) -> DataFrame:
-    """strings: anchor, snippet, id (the smallest). Per string: anchor, string, and of each window the least id as bytes."""
+    """strings: anchor, snippet, id (the smallest). Per string: anchor, string, and of each window the least id, as
+    bytes; one number if all have the same."""
 
     def over(batches):
         import pyarrow as pa
@@ -341,27 +341,29 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.coalesce((F.col("file") == F.col("best.file")) & (F.col("index") == F.col("best.index")), F.lit(True)).alias("lead"),
         F.col("best.file").alias("of_file"), F.col("best.index").alias("of_index"),
     ), "known")
-    lists = stash(anchor_lists(rows, n_parts), "anchors")
-    shared = stash(shared_anchors(lists, n_parts), "shared")
+    shared = stash(shared_anchors(anchor_lists(rows, n_parts), n_parts), "shared")
+    free(spark)
     leaders = known.filter(F.col("lead") & (F.col("n_bytes") >= WIDTH))
     found = stash(snippets(rows, shared, leaders), "snippets")
+    free(spark)
     strings = found.filter(F.col("snippet").isNotNull()).groupBy("anchor", "snippet").agg(F.min("id").alias("id"))
     least = stash(window_ids(strings), "windows")
+    free(spark)
 
     def over(batches):
         import pyarrow as pa
 
         for batch in batches:
-            file, group, index, ids, starts, leasts = (c.to_pylist() for c in batch.columns)
+            file, group, index, ids, starts, sizes, leasts = (c.to_pylist() for c in batch.columns)
             out = []
-            for f, g, i, own, start, blob in zip(file, group, index, ids, starts, leasts, strict=True):
-                late = np.flatnonzero(np.frombuffer(blob, np.int64) < own)
+            for f, g, i, own, start, n, blob in zip(file, group, index, ids, starts, sizes, leasts, strict=True):
+                late = np.flatnonzero(np.frombuffer(blob, np.int64) < own) if len(blob) > 8 else np.arange(n if int.from_bytes(blob, "little", signed=True) < own else 0)
                 if len(late):
                     out.append((f, g, i, (late + start).astype(np.int32).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 3, pa.binary()), strict=True)], ["file", "group", "index", "starts"])
 
-    late = found.select("anchor", "string", "file", "group", "index", "id", "start").join(least, ["anchor", "string"]).select("file", "group", "index", "id", "start", "least")
+    late = found.select("anchor", "string", "file", "group", "index", "id", "start", "n").join(least, ["anchor", "string"]).select("file", "group", "index", "id", "start", "n", "least")
     starts = late.mapInArrow(over, "file long, group long, index long, starts binary").groupBy("file", "group", "index").agg(F.array_join(F.collect_list(F.hex("starts")), "").alias("hex"))
     starts = stash(starts.select("file", "index", F.unhex("hex").alias("starts")), "starts")
     # rows with the id of the row that stands for their text lose what that one loses
