@@ -41,7 +41,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     costs only the tasks that were running."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

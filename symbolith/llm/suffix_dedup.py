@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import ROW_FILE, ROW_INDEX, by_rows, free, keyed, ship, stash
 
-WIDTH, GRAM, GROUP, SHARDS, CHUNK, LARGE = 50, 24, 512, 4, 1_500_000, 12_000_000
+WIDTH, GRAM, GROUP, SHARDS, CHUNK, LARGE = 50, 24, 512, 4, 600_000, 12_000_000
 NO_ID = np.iinfo(np.int64).max
 _FACTOR = 0x9E3779B97F4A7C15
 _SEVERAL = 0xFFFF
@@ -189,7 +189,7 @@ def shared_anchors(lists: DataFrame, n_parts: int) -> DataFrame:
 
 def snippets(rows: DataFrame, shared: DataFrame, leaders: DataFrame) -> DataFrame:
     """Runs of windows with a shared anchor, of the rows that stand for their text: anchor, string (a hash of the
-    snippet), id, file, group, index, start, n (windows), and the snippet, but only where the string is new in its group."""
+    snippet), id, file, index, start, n (windows), and the snippet, but only where the string is new in its group."""
 
     def over(_, left, right):
         import pyarrow as pa
@@ -198,7 +198,7 @@ def snippets(rows: DataFrame, shared: DataFrame, leaders: DataFrame) -> DataFram
         blobs = [b for b in right.column("anchors").to_pylist() if b is not None]
         lead = {i for i in right.column("index").to_pylist() if i is not None}
         known = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])) if blobs else np.zeros(0, np.uint64)
-        out, seen = [], set()
+        parts, names, texts_out, seen = [], [], [], set()
         if len(known) and lead:
             ids, index = left.column("id").to_pylist(), left.column("index").to_pylist()
             texts = left.column("text")
@@ -209,24 +209,28 @@ def snippets(rows: DataFrame, shared: DataFrame, leaders: DataFrame) -> DataFram
                 starts, anchors = anchor_runs(text)
                 at = np.minimum(np.searchsorted(known, anchors), len(known) - 1)
                 mine = np.flatnonzero(known[at] == anchors)
-                ends = np.r_[starts[1:], len(text) - WIDTH + 1] if len(starts) else starts
-                for a, b, h in zip(starts[mine].tolist(), ends[mine].tolist(), anchors[mine].view(np.int64).tolist(), strict=True):
-                    snippet = text[a : b + WIDTH - 1]
+                ends = np.r_[starts[1:], len(text) - WIDTH + 1][mine]
+                starts, anchors = starts[mine], anchors[mine].view(np.int64)
+                parts.append((anchors, np.full(len(mine), ids[k]), np.full(len(mine), index[k]), starts, ends - starts))
+                for a, b, h in zip(starts.tolist(), (ends + WIDTH - 1).tolist(), anchors.tolist(), strict=True):
+                    snippet = text[a:b]
                     name = xxhash.xxh64_intdigest(snippet, 5) - (1 << 63)
-                    new = (h, name) not in seen
-                    if new:
+                    names.append(name)
+                    if (h, name) in seen:
+                        snippet = None
+                    else:
                         seen.add((h, name))
-                    out.append((h, name, ids[k], index[k], a, b - a, snippet if new else None))
-        kinds = (*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary())
-        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
+                    texts_out.append(snippet)
+        anchors, ids, index, starts, n = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
         first = left if left.num_rows else right
-        keys = [pa.array([first.column(c)[0].as_py()] * len(out), pa.int64()) for c in ("file", "group")]
-        return pa.Table.from_arrays([*columns, *keys], ["anchor", "string", "id", "index", "start", "n", "snippet", "file", "group"])
+        file = pa.array(np.full(len(names), first.column("file")[0].as_py()), pa.int64())
+        columns = [pa.array(anchors), pa.array(names, pa.int64()), pa.array(ids), file, pa.array(index), pa.array(starts.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(texts_out, pa.binary())]
+        return pa.Table.from_arrays(columns, ["anchor", "string", "id", "file", "index", "start", "n", "snippet"])
 
     sides = shared.select("file", "group", "anchors", F.lit(None).cast("long").alias("index")).unionByName(leaders.select("file", "group", F.lit(None).cast("binary").alias("anchors"), "index"))
     texts = rows.select("file", "group", "index", "id", F.col("text").cast("binary").alias("text"))
     return texts.groupBy("file", "group").cogroup(sides.groupBy("file", "group")).applyInArrow(
-        over, "anchor long, string long, id long, index long, start int, n int, snippet binary, file long, group long"
+        over, "anchor long, string long, id long, file long, index long, start int, n int, snippet binary"
     )
 
 
@@ -280,8 +284,8 @@ def in_parts(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
 
 
 def window_ids(strings: DataFrame) -> DataFrame:
-    """strings: anchor, snippet, id (the smallest). Per string: anchor, string, and of each window the least id, as
-    bytes; one number if all have the same."""
+    """strings: anchor, snippet, id (the smallest). Per string: anchor, string, and the least id of its windows
+    if all have the same, else that of each window as bytes."""
 
     def over(batches):
         import pyarrow as pa
@@ -292,8 +296,9 @@ def window_ids(strings: DataFrame) -> DataFrame:
 
         def close(rows):
             found = resolved(np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
-            columns = [[r[0] for r in rows], [xxhash.xxh64_intdigest(r[1], 5) - (1 << 63) for r in rows], [x.tobytes() for x in found]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "string", "least"])
+            columns = [[r[0] for r in rows], [xxhash.xxh64_intdigest(r[1], 5) - (1 << 63) for r in rows]]
+            columns += [[int(x[0]) if len(x) == 1 else None for x in found], [x.tobytes() if len(x) > 1 else None for x in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.binary()), strict=True)], ["anchor", "string", "same", "least"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -305,16 +310,15 @@ def window_ids(strings: DataFrame) -> DataFrame:
         if held:
             yield from close(held)
 
-    return strings.select("anchor", "snippet", "id").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(over, "anchor long, string long, least binary")
+    return strings.select("anchor", "snippet", "id").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(over, "anchor long, string long, same long, least binary")
 
 
-def _merged(places: np.ndarray) -> list[tuple[int, int]]:
-    """Spans that the windows starting at places cover."""
-    places = np.unique(places)
-    if not len(places):
-        return []
-    cut = np.flatnonzero(places[1:] > places[:-1] + WIDTH) + 1
-    return list(zip(places[np.r_[0, cut]].tolist(), (places[np.r_[cut, len(places)] - 1] + WIDTH).tolist(), strict=True))
+def _merged(runs: np.ndarray) -> list[tuple[int, int]]:
+    """Spans that windows cover, given runs of their starts (first, behind the last)."""
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    ends = np.maximum.accumulate(runs[:, 1]) + WIDTH - 1
+    new = np.flatnonzero(np.r_[True, runs[1:, 0] > ends[:-1]])
+    return list(zip(runs[new, 0].tolist(), ends[np.r_[new[1:] - 1, len(runs) - 1]].tolist(), strict=True))
 
 
 def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -326,7 +330,7 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: file, group, index (see _rows), doc_id, n_bytes, whole (all of it goes), starts (of removed windows, as bytes; null for none)."""
+    """Per row: file, group, index (see _rows), doc_id, n_bytes, whole (all of it goes), starts (runs of the starts of removed windows, as bytes; null for none)."""
     spark = docs.sparkSession
     ship(spark)
     n_parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -354,17 +358,26 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         import pyarrow as pa
 
         for batch in batches:
-            file, group, index, ids, starts, sizes, leasts = (c.to_pylist() for c in batch.columns)
+            file, index, ids, starts, sizes, leasts = (c.to_pylist() for c in batch.columns)
             out = []
-            for f, g, i, own, start, n, blob in zip(file, group, index, ids, starts, sizes, leasts, strict=True):
-                late = np.flatnonzero(np.frombuffer(blob, np.int64) < own) if len(blob) > 8 else np.arange(n if int.from_bytes(blob, "little", signed=True) < own else 0)
-                if len(late):
-                    out.append((f, g, i, (late + start).astype(np.int32).tobytes()))
+            for f, i, own, start, n, blob in zip(file, index, ids, starts, sizes, leasts, strict=True):
+                if blob is None:
+                    runs = [[start, start + n]]
+                else:
+                    late = np.frombuffer(blob, np.int64) < own
+                    runs = np.flatnonzero(np.diff(np.r_[False, late, False])).reshape(-1, 2) + start
+                if len(runs):
+                    out.append((f, i, np.asarray(runs, np.int32).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 3, pa.binary()), strict=True)], ["file", "group", "index", "starts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "index", "starts"])
 
-    late = found.select("anchor", "string", "file", "group", "index", "id", "start", "n").join(least, ["anchor", "string"]).select("file", "group", "index", "id", "start", "n", "least")
-    starts = late.mapInArrow(over, "file long, group long, index long, starts binary").groupBy("file", "group", "index").agg(F.array_join(F.collect_list(F.hex("starts")), "").alias("hex"))
+    late = (
+        found.select("anchor", "string", "file", "index", "id", "start", "n")
+        .join(least, ["anchor", "string"])
+        .filter(F.col("same").isNull() | (F.col("same") < F.col("id")))
+        .select("file", "index", "id", "start", "n", "least")
+    )
+    starts = late.mapInArrow(over, "file long, index long, starts binary").groupBy("file", "index").agg(F.array_join(F.collect_list(F.hex("starts")), "").alias("hex"))
     starts = stash(starts.select("file", "index", F.unhex("hex").alias("starts")), "starts")
     # rows with the id of the row that stands for their text lose what that one loses
     by = starts.select(F.col("file").alias("f"), F.col("index").alias("i"), "starts")
@@ -385,7 +398,7 @@ def reports(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         out = []
         for doc, n, text, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "text", "starts")), strict=True):
-            spans = _merged(np.frombuffer(starts, np.int32).astype(np.int64))
+            spans = _merged(np.frombuffer(starts, np.int32).astype(np.int64).reshape(-1, 2))
             kept = _cut(text, spans)
             out.append((doc, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
         types = (batch.column(0).type, *[pa.int64()] * 3, pa.string())
