@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -47,9 +48,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def free(spark: SparkSession) -> None:
     """Let the driver find the shuffles that nothing refers to any more, so that executors delete their files now."""
+    gc.collect()  # Python's handles of plans keep them alive in the JVM
     spark.sparkContext._jvm.System.gc()
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that stash() wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        for name in {os.path.dirname(f) for f in table.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """df with ROW_KEY, the file and the position that each row was read from. Unlike a running number this
     stays the same when a task is repeated elsewhere. A frame that doesn't come from files is written first."""

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_FILE, ROW_INDEX, by_rows, free, keyed, ship, stash
+from .common import ROW_FILE, ROW_INDEX, by_rows, drop, free, keyed, ship, stash
 
 WIDTH, GRAM, GROUP, SHARDS, CHUNK, LARGE = 50, 24, 512, 4, 600_000, 12_000_000
 NO_ID = np.iinfo(np.int64).max
@@ -47,7 +47,8 @@ _BYTE = _byte_hashes()
 
 
 def gram_hashes(text: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of size bytes, by doubling; the last size - 1 values don't count."""
+    """A hash (48 bits) of each run of size bytes, by doubling; the last size - 1 values don't count. Hashes only say
+    where equal windows may meet: unequal ones that collide are told apart by their bytes."""
     part, n, out, have = _BYTE[text], 1, None, 0
     while True:
         if size & n:
@@ -65,7 +66,7 @@ def gram_hashes(text: np.ndarray, size: int) -> np.ndarray:
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
-    return out
+    return out & np.uint64(0xFFFFFFFFFFFF)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -78,6 +79,17 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """The lower 6 bytes of each."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def anchor_runs(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and anchors of the runs of windows of a text that have one anchor."""
     if len(text) < WIDTH:
@@ -122,7 +134,7 @@ def anchor_lists(rows: DataFrame, n_parts: int) -> DataFrame:
             part = ((h >> np.uint64(20)) % np.uint64(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-            out = [(p, *key, h[order[a:b]].tobytes(), own[order[a:b]].tobytes(), texts.tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            out = [(p, *key, _packed(h[order[a:b]]), own[order[a:b]].tobytes(), texts.tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             if out:
                 kinds = [pa.int64()] * 3 + [pa.binary()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "file", "group", "anchors", "numbers", "texts"])
@@ -153,7 +165,7 @@ def shared_anchors(lists: DataFrame, n_parts: int) -> DataFrame:
         part = None
 
         def close():
-            h = np.concatenate([np.frombuffer(a, np.uint64) for _, _, a, _, _ in held])
+            h = np.concatenate([_unpacked(a) for _, _, a, _, _ in held])
             name = np.concatenate([np.r_[np.frombuffer(t, np.uint64), np.uint64(0)][np.minimum(np.frombuffer(o, np.uint16), len(t) // 8)] for _, _, _, o, t in held])
             several = np.concatenate([np.frombuffer(o, np.uint16) == _SEVERAL for _, _, _, o, _ in held])
             order = np.argsort(h, kind="stable")
@@ -167,7 +179,7 @@ def shared_anchors(lists: DataFrame, n_parts: int) -> DataFrame:
             mine[order] = shared[at]
             out, start = [], 0
             for f, g, a, _, _ in held:
-                own = np.frombuffer(a, np.uint64)
+                own = _unpacked(a)
                 if (keep := mine[start : start + len(own)]).any():
                     out.append((f, g, own[keep].tobytes()))
                 start += len(own)
@@ -379,6 +391,8 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     starts = late.mapInArrow(over, "file long, index long, starts binary").groupBy("file", "index").agg(F.array_join(F.collect_list(F.hex("starts")), "").alias("hex"))
     starts = stash(starts.select("file", "index", F.unhex("hex").alias("starts")), "starts")
+    drop(found, least, shared)
+    free(spark)
     # rows with the id of the row that stands for their text lose what that one loses
     by = starts.select(F.col("file").alias("f"), F.col("index").alias("i"), "starts")
     return known.join(by, (F.coalesce("of_file", "file") == F.col("f")) & (F.coalesce("of_index", "index") == F.col("i")), "left").select(
