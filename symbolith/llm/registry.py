@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_extract, langid, mixing, pii, quality, simhash, suffix_dedup
+from . import bpe, exact_dedup, html_extract, langid, mixing, passages, pii, quality, simhash, suffix_dedup
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_bpe": bpe.op6_bpe,
     "op7_html": html_extract.op7_html,
+    "op8_passages": passages.op8_passages,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality": quality.op10_quality,
 }
