@@ -67,7 +67,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     first = F.struct(
         (-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *ROW_KEY
     )  # the smallest of these stays
-    best = rows.groupBy("recipe").agg(F.min(first).alias("best"), F.count("*").alias("group_size"))
+    # written first: then a recipe that very many rows share is a skewed join of two tables, which Spark splits
+    best = stash(rows.groupBy("recipe").agg(F.min(first).alias("best"), F.count("*").alias("group_size")), "groups")
     return rows.join(best, "recipe").select(
         *ROW_KEY, "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         ((F.col(ROW_FILE) == F.col(f"best.{ROW_FILE}")) & (F.col(ROW_INDEX) == F.col(f"best.{ROW_INDEX}"))).alias("kept"),
