@@ -157,20 +157,30 @@ def _taken(words: Column, partial: Column) -> Column:
     return F.when(partial, F.greatest(F.lit(0), F.least(words - F.col("offset"), F.col("size")))).otherwise(F.col("size"))
 
 
+def _copies(docs: DataFrame, **how) -> DataFrame:
+    """ROW_KEY, __size, __shard, __place and __taken of each draw of each row of docs that takes words."""
+    placed, _, drawn = plan(docs, **how)
+    known = drawn.withColumnRenamed("source", "s")
+    return placed.join(known, placed["source"].eqNullSafe(F.col("s")) & (placed["block"] == known["block"])).select(
+        *ROW_KEY, F.col("size").alias("__size"), F.col("shard").alias("__shard"), F.xxhash64("place_in_shard", "h").alias("__place"), _taken(F.col("words"), F.col("partial")).alias("__taken")
+    ).filter("__taken > 0")
+
+
 def mixture(docs: DataFrame, **how) -> DataFrame:
-    """The mix: a row for each draw of each document, with all columns of docs, shard, place (a hash that orders
-    the shard) and taken words. Of the document in which a source's last draw ends only the first words are taken."""
+    """The mix: a row for each draw of each document, with all columns of docs but such as are named shard, place or
+    taken, and with shard, place (a hash that orders the shard) and taken words. Of the document in which a source's last draw
+    ends only the first words are taken."""
     docs = keyed(docs)
-    placed, _, drawn = plan(docs, **how)
-    copies = placed.join(drawn.withColumnRenamed("source", "s"), placed["source"].eqNullSafe(F.col("s")) & (placed["block"] == drawn["block"])).select(
-        *ROW_KEY, "size", "shard", F.xxhash64("place_in_shard", "h").alias("place"), _taken(F.col("words"), F.col("partial")).alias("taken")
-    )
-    return docs.join(copies.filter("taken > 0"), ROW_KEY).drop(*ROW_KEY)
+    added = {"__shard": "shard", "__place": "place", "__taken": "taken"}
+    rest = [c for c in docs.columns if c not in (*ROW_KEY, *added.values())]
+    return docs.join(_copies(docs, **how), ROW_KEY).select(*rest, *(F.col(k).alias(v) for k, v in added.items()))
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as whole documents: of a document taken in part at least half of its words must be taken."""
-    return mixture(docs, **how).filter("2 * taken >= size").select(*docs.columns)
+    docs = keyed(docs)
+    whole = _copies(docs, **how).filter("2 * __taken >= __size").select(*ROW_KEY)
+    return docs.join(whole, ROW_KEY).drop(*ROW_KEY)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -193,17 +193,17 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 g AS (
-  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
+  SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM d)),
 r AS (
-  SELECT doc_id, count(DISTINCT p) AS n FROM (
-    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (
-      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1)
-  GROUP BY doc_id),
+  SELECT k, count(DISTINCT p) AS n FROM (
+    SELECT k, unnest([i, i + 1, i + 2]) AS p FROM (
+      SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM g) WHERE n > 1)
+  GROUP BY k),
 c AS (
   SELECT d.doc_id, len(w) AS n_words,
          length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
@@ -213,7 +213,7 @@ c AS (
          length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_upper,
          length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters,
          len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words
-  FROM d LEFT JOIN r ON r.doc_id = d.doc_id)
+  FROM d LEFT JOIN r ON r.k = d.k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
