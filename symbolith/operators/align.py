@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import argument_of, function_of
 from ..schemas import SELECT_KEY
+from ..shipping import ship
 from .select import first_per, first_source_wins
 
 
@@ -68,4 +69,7 @@ def cursor_match(slots: DataFrame, predictions: DataFrame) -> DataFrame:
         annos = right["anno"].tolist()
         return left.assign(anno=[annos[k] if k >= 0 else None for k in at])[["file", "ord", "name", "anno"]]
 
-    return slots.select("file", "ord", "name").groupBy("file").cogroup(predictions.select("file", "ord", "name", "anno").groupBy("file")).applyInPandas(over, "file string, ord long, name string, anno string")
+    ship(slots.sparkSession)
+    # columns of its own for the right side: both may come from one table, and pruning goes by a column's identity
+    right = predictions.select(*(F.concat(F.col(c), F.lit("")).alias(c) if c != "ord" else (F.col(c) + 0).cast("long").alias(c) for c in ("file", "ord", "name", "anno")))
+    return slots.select("file", "ord", "name").groupBy("file").cogroup(right.groupBy("file")).applyInPandas(over, "file string, ord long, name string, anno string")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_builtin
 from ..schemas import CONTEXT_CODES
+from ..shipping import ship
 from .numbering import number
 
 _BUILTINS = frozenset(dir(builtins))
@@ -289,6 +290,7 @@ def symbols(sources: DataFrame, lax: bool = False) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
+    ship(sources.sparkSession)
     return sources.select("file", "code").mapInArrow(over, SCHEMA)
 
 

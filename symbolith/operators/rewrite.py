@@ -11,6 +11,7 @@ import tokenize
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .extract import Module
 from .select import first_per
 
@@ -177,6 +178,7 @@ def _rewritten(rows: DataFrame, work, *columns: str) -> DataFrame:
                     error.append(str(e))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code, pa.string()), pa.array(error, pa.string())], ["file", "code", "error"])
 
+    ship(rows.sparkSession)
     return rows.select("file", *columns).mapInArrow(over, "file string, code string, error string")
 
 

@@ -155,3 +155,10 @@ def test_label_stream(spark, tmp_path):
     for _ in range(2):  # what is labelled once isn't again
         label_stream(spark, str(tmp_path / "in"), truth, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert [r.score for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
+def test_cursor_match_of_one_table_with_itself_can_be_counted(spark):
+    rows = spark.createDataFrame([("f", 1, "a"), ("f", 2, "b"), ("g", 1, "a")], "file string, ord long, name string")
+    found = align.cursor_match(rows, rows.filter("name = 'a'").withColumn("anno", F.lit("int")))
+    assert found.count() == 3
+    assert sorted((r.file, r.ord, r.anno) for r in found.collect()) == [("f", 1, "int"), ("f", 2, None), ("g", 1, "int")]
