@@ -1,4 +1,4 @@
-"""What the operators share: row keys, tables in the shared folder, and shipping this package to executors."""
+"""What the operators share: row keys, tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ import gc
 import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401  the operators take it from here
+
 #: The six ASCII white-space characters, and a run of anything else, as regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,9 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW_FILE, ROW_INDEX = "__row_file", "__row_index"
 ROW_KEY = [ROW_FILE, ROW_INDEX]
 
-_shipped: set[str] = set()
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,23 +74,6 @@ def keyed(df: DataFrame) -> DataFrame:
     return stash(df, "rows").select("*", F.col("_metadata.file_path").alias(ROW_FILE), F.col("_metadata.row_index").alias(ROW_INDEX))
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="symbolith-"), "symbolith_ship.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(top):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def by_rows(rows_of, n_chars: int = 4_000_000, at: int = 1):
     """A function for mapInArrow that hands rows_of whole batches of about n_chars characters of column `at` (a
     text) at most, one text at least, and yields what it returns."""
