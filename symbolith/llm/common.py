@@ -19,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW_FILE, ROW_INDEX = "__row_file", "__row_index"
 ROW_KEY = [ROW_FILE, ROW_INDEX]
 
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     temporary folder; a cluster without it is an error, since executors could not read each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="symbolith-")
         spark.conf.set("spark.checkpoint.dir", found)
