@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ..schemas import ANNOTATED, CONTEXT, PREDICTIONS
 
-MANYTYPES, BETTERTYPES, PROJECT = "manytypes4py", "better-types-4-py-dataset", "project"
+#: Folder names of data sets whose layout is known. Fixed values.
+MANYTYPES, BETTERTYPES, PROJECT = "many-types-4-py-dataset", "better-types-4-py-dataset", "project"
 
 GRAPH_PREDICTIONS = "array<struct<annotation_type:string,location:array<int>,name:string,node_id:int,original_annotation:string,predicted_annotation_logprob_dist:array<struct<anno:string,logprob:double>>,provenance:string>>"
 NESTED_PREDICTIONS = "map<string,map<string,array<struct<category:string,name:string,type:array<string>>>>>"
@@ -59,6 +60,13 @@ def projects(files: DataFrame) -> DataFrame:
     return found.filter(~F.col("author").startswith(".") & F.col("file").isNotNull()).groupBy("author", "project").agg(F.array_sort(F.collect_set("file")).alias("files"))
 
 
+def test_folder(spark: SparkSession, root: str) -> DataFrame:
+    """author, project and files of the Python files below repos/test of root, where folders are named author__project."""
+    found = sources(spark, f"{root}/repos/test").select(F.split("file", "/", 2).alias("p")).filter("size(p) = 2")
+    named = found.select(F.split(F.col("p")[0], "__").alias("n"), F.col("p")[1].alias("file")).filter("size(n) = 2")
+    return named.groupBy(F.col("n")[0].alias("author"), F.col("n")[1].alias("project")).agg(F.array_sort(F.collect_set("file")).alias("files"))
+
+
 def author_and_repo(name: Column) -> Column:
     """Both parts of author__repo; anything else is an error."""
     parts = F.split(name, "__")

@@ -162,3 +162,11 @@ def test_cursor_match_of_one_table_with_itself_can_be_counted(spark):
     found = align.cursor_match(rows, rows.filter("name = 'a'").withColumn("anno", F.lit("int")))
     assert found.count() == 3
     assert sorted((r.file, r.ord, r.anno) for r in found.collect()) == [("f", 1, "int"), ("f", 2, None), ("g", 1, "int")]
+
+
+def test_layouts(spark, tmp_path):
+    assert scans.layout("/d/Many-Types-4-Py-Dataset/") == scans.MANYTYPES and scans.layout("/d/Better-types-4-py-dataset") == scans.BETTERTYPES
+    assert scans.layout("/d/mine") == scans.PROJECT
+    (tmp_path / "repos/test/a__b/c").mkdir(parents=True)
+    (tmp_path / "repos/test/a__b/c/x.py").write_text("a = 1\n")
+    assert [tuple(r) for r in scans.test_folder(spark, str(tmp_path)).collect()] == [("a", "b", ["c/x.py"])]
