@@ -75,23 +75,27 @@ def keyed(df: DataFrame) -> DataFrame:
     return stash(df, "rows").select("*", F.col("_metadata.file_path").alias(ROW_FILE), F.col("_metadata.row_index").alias(ROW_INDEX))
 
 
-def by_rows(rows_of, n_chars: int = 4_000_000, at: int = 1):
-    """A function for mapInArrow that hands rows_of whole batches of about n_chars characters of column `at` (a
-    text) at most, one text at least, and yields what it returns."""
+def slices(batches, at: int, n_bytes: int = 4_000_000):
+    """batches in slices of about n_bytes bytes of column `at` at most, one row at least."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+        start, held = 0, 0
+        for i, n in enumerate(sizes):
+            if held and held + n > n_bytes:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < len(sizes):
+            yield batch.slice(start)
+
+
+def by_rows(rows_of, n_bytes: int = 4_000_000, at: int = 1):
+    """A function for mapInArrow that hands rows_of the slices() of batches and yields what it returns."""
 
     def over(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
-            start, held = 0, 0
-            for i, n in enumerate(sizes):
-                if held and held + n > n_chars:
-                    yield from rows_of(batch.slice(start, i - start))
-                    start, held = i, 0
-                held += n
-            if start < len(sizes):
-                yield from rows_of(batch.slice(start))
+        for part in slices(batches, at, n_bytes):
+            yield from rows_of(part)
 
     return over

@@ -4,10 +4,10 @@ A byte goes if a WIDTH-byte string that covers it also starts in a document with
 has an anchor, the smallest hash among its GRAM-byte grams, so equal windows have equal anchors. Windows are spread by
 anchor in three steps that lose none:
 
-1. Groups of GROUP rows of a file list their anchors, each with the one text of the group that has it or a mark for
-   several. Where all lists of an anchor meet, it is known whether different texts share it. Very frequent anchors come
-   once for each group, not for each row.
-2. With the shared anchors of its group at hand each row cuts its runs of windows that have a shared anchor into
+1. Groups of GROUP rows of a file, or one text of more than LONG bytes, list their anchors, each with the one text of the
+   group that has it or a mark for several. Where all lists of an anchor meet, it is known whether different texts share it.
+   Very frequent anchors come once for each group, not for each row. The number of parts follows the bytes of all texts.
+2. Behind the shared anchors of its group each row, one at a time, cuts its runs of windows that have a shared anchor into
    snippets. Equal snippets of an anchor are one string with its smallest id.
 3. The strings of an anchor meet in one task. A few anchors at a time, the strings are dealt out to SHARDS shards, each is
    transformed, and the transforms are merged by interleave refinement (module bwt). The repeated intervals of
@@ -15,8 +15,11 @@ anchor in three steps that lose none:
    row's spans are the union of these windows.
 
 A text that equals one of a row with a smaller id is removed whole, if it has WIDTH bytes, and takes no part in 2 and
-3, so groups of copies cost nothing there. Strings of one anchor that exceed LARGE bytes are split by a hash of their
-windows and done in parts.
+3, so groups of copies cost nothing there. An anchor whose strings exceed LARGE bytes is split before they meet: its strings
+become single windows, whose hash is their anchor, so that any number of tasks share them.
+
+A string is named by its anchor, a 64-bit hash and its length. Where the strings of an anchor meet, two of one name are an
+error that asks for another seed, never a wrong result.
 
 Cases: a null text counts as empty; texts shorter than WIDTH bytes lose nothing; matches never cross rows, as a window
 lies within one string; rows of equal id don't remove from each other; a null id counts as larger than every other;
@@ -31,9 +34,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_FILE, ROW_INDEX, by_rows, drop, free, keyed, ship, stash
+from .common import ROW_FILE, ROW_INDEX, by_rows, drop, free, keyed, ship, slices, stash
 
-WIDTH, GRAM, GROUP, SHARDS, CHUNK, LARGE = 50, 24, 512, 4, 600_000, 12_000_000
+WIDTH, GRAM, GROUP, SHARDS, CHUNK, LARGE, LONG, PART = 50, 24, 512, 4, 600_000, 2_000_000, 65_536, 32_000_000
+SENT = 4_000_000  # bytes of a batch that a task hands on
 NO_ID = np.iinfo(np.int64).max
 _FACTOR = 0x9E3779B97F4A7C15
 _SEVERAL = 0xFFFF
@@ -103,8 +107,9 @@ def anchor_runs(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: file (a hash), group, index, doc_id, id (for comparison), text."""
     index = F.col(ROW_INDEX)
+    group = F.when(F.coalesce(F.octet_length(text_col), F.lit(0)) > LONG, -1 - index).otherwise(F.floor(index / GROUP).cast("long"))
     return keyed(docs).select(
-        F.xxhash64(ROW_FILE).alias("file"), F.floor(index / GROUP).cast("long").alias("group"), index.alias("index"),
+        F.xxhash64(ROW_FILE).alias("file"), group.alias("group"), index.alias("index"),
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
 
@@ -133,22 +138,27 @@ def anchor_lists(rows: DataFrame, n_parts: int) -> DataFrame:
             h, own = h[first], np.where(several, np.uint16(_SEVERAL), own[first])
             part = ((h >> np.uint64(20)) % np.uint64(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-            out = [(p, *key, _packed(h[order[a:b]]), own[order[a:b]].tobytes(), texts.tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True])
+            out = []
+            for k in [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]:
+                used, number = np.unique(own[k][own[k] != _SEVERAL], return_inverse=True)  # of the texts only those of the part travel
+                mine = np.full(len(k), _SEVERAL, np.uint16)
+                mine[own[k] != _SEVERAL] = number
+                out.append((int(part[k[0]]), *key, _packed(h[k]), mine.tobytes(), texts[used].tobytes()))
             if out:
                 kinds = [pa.int64()] * 3 + [pa.binary()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "file", "group", "anchors", "numbers", "texts"])
 
-        for batch in batches:
-            file, group, texts = (batch.column(k).to_pylist() for k in (0, 1, 2))
-            for f, g, text in zip(file, group, texts, strict=True):
+        for batch in slices(batches, 2):
+            for f, g, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key = (f, g)
                 if key not in held:
-                    for other in list(held):  # rows come in the order of the file
+                    for other in list(held) if g >= 0 else []:  # rows come in the order of the file
                         yield from close(other)
                     held[key] = []
-                anchors = anchor_runs(text)[1]
-                held[key].append((np.unique(anchors), int.from_bytes(hashlib.sha256(text).digest()[:8], "little")))
+                held[key].append((np.unique(anchor_runs(text)[1]), int.from_bytes(hashlib.sha256(text).digest()[:8], "little")))
+                if g < 0:
+                    yield from close(key)
         for other in list(held):
             yield from close(other)
 
@@ -199,51 +209,78 @@ def shared_anchors(lists: DataFrame, n_parts: int) -> DataFrame:
     return lists.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(over, "file long, group long, anchors binary")
 
 
+def _name(snippet: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(snippet, 5) - (1 << 63)
+
+
 def snippets(rows: DataFrame, shared: DataFrame, leaders: DataFrame) -> DataFrame:
     """Runs of windows with a shared anchor, of the rows that stand for their text: anchor, string (a hash of the
-    snippet), id, file, index, start, n (windows), and the snippet, but only where the string is new in its group."""
+    snippet), id, file, index, start, n (windows), sent, and the snippet, but only where the string is new in its group or its id
+    smaller than before. A task holds the anchors of one group, one text, and a batch to hand on."""
 
-    def over(_, left, right):
+    def over(batches):
         import pyarrow as pa
-        import xxhash
-
-        blobs = [b for b in right.column("anchors").to_pylist() if b is not None]
-        lead = {i for i in right.column("index").to_pylist() if i is not None}
-        known = np.sort(np.concatenate([np.frombuffer(b, np.uint64) for b in blobs])) if blobs else np.zeros(0, np.uint64)
-        parts, names, texts_out, seen = [], [], [], set()
-        if len(known) and lead:
-            ids, index = left.column("id").to_pylist(), left.column("index").to_pylist()
-            texts = left.column("text")
-            for k in sorted(range(len(ids)), key=lambda k: (ids[k], index[k])):
-                if index[k] not in lead:
-                    continue
-                text = texts[k].as_py()
-                starts, anchors = anchor_runs(text)
-                at = np.minimum(np.searchsorted(known, anchors), len(known) - 1)
-                mine = np.flatnonzero(known[at] == anchors)
-                ends = np.r_[starts[1:], len(text) - WIDTH + 1][mine]
-                starts, anchors = starts[mine], anchors[mine].view(np.int64)
-                parts.append((anchors, np.full(len(mine), ids[k]), np.full(len(mine), index[k]), starts, ends - starts))
-                for a, b, h in zip(starts.tolist(), (ends + WIDTH - 1).tolist(), anchors.tolist(), strict=True):
-                    snippet = text[a:b]
-                    name = xxhash.xxh64_intdigest(snippet, 5) - (1 << 63)
-                    names.append(name)
-                    if (h, name) in seen:
-                        snippet = None
-                    else:
-                        seen.add((h, name))
-                    texts_out.append(snippet)
-        anchors, ids, index, starts, n = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
-        first = left if left.num_rows else right
-        file = pa.array(np.full(len(names), first.column("file")[0].as_py()), pa.int64())
-        columns = [pa.array(anchors), pa.array(names, pa.int64()), pa.array(ids), file, pa.array(index), pa.array(starts.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(texts_out, pa.binary())]
-        return pa.Table.from_arrays(columns, ["anchor", "string", "id", "file", "index", "start", "n", "snippet"])
-
-    sides = shared.select("file", "group", "anchors", F.lit(None).cast("long").alias("index")).unionByName(leaders.select("file", "group", F.lit(None).cast("binary").alias("anchors"), "index"))
-    texts = rows.select("file", "group", "index", "id", F.col("text").cast("binary").alias("text"))
-    return texts.groupBy("file", "group").cogroup(sides.groupBy("file", "group")).applyInArrow(
-        over, "anchor long, string long, id long, file long, index long, start int, n int, snippet binary"
-    )
+
+        group, lead, blobs, known, seen = None, None, [], np.zeros(0, np.uint64), {}
+        parts, names, out, size = [], [], [], 0
+
+        def close():
+            anchors, ids, file, index, starts, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+            sent = [x is not None for x in out]
+            columns = [pa.array(anchors), pa.array(names, pa.int64()), pa.array(ids), pa.array(file), pa.array(index), pa.array(starts.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sent), pa.array(out, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["anchor", "string", "id", "file", "index", "start", "n", "sent", "snippet"])
+
+        for batch in slices(batches, 5):
+            for f, g, i, own, anchors, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != (f, g):
+                    group, lead, blobs, seen = (f, g), None, [], {}
+                if anchors is not None:
+                    blobs.append(np.frombuffer(anchors, np.uint64))
+                elif text is None:
+                    lead = i
+                elif lead == i and blobs:
+                    if len(blobs) > 1 or known is not blobs[0]:
+                        known = np.sort(np.concatenate(blobs))
+                        blobs = [known]
+                    starts, found = anchor_runs(text)
+                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    mine = np.flatnonzero(known[at] == found)
+                    ends = np.r_[starts[1:], len(text) - WIDTH + 1][mine]
+                    starts, found = starts[mine], found[mine].view(np.int64)
+                    # a text of very many runs goes on in pieces
+                    for k in range(0, len(mine), 50_000):
+                        piece = slice(k, k + 50_000)
+                        m = len(found[piece])
+                        parts.append((found[piece], *(np.full(m, x) for x in (own, f, i)), starts[piece], (ends - starts)[piece]))
+                        for a, b, h in zip(starts[piece].tolist(), (ends[piece] + WIDTH - 1).tolist(), found[piece].tolist(), strict=True):
+                            snippet = text[a:b]
+                            name = _name(snippet)
+                            names.append(name)
+                            size += 60
+                            if seen.get((h, name), NO_ID + 1) <= own:
+                                snippet = None
+                            else:
+                                if len(seen) >= 200_000:
+                                    seen.clear()  # strings are sent again then
+                                seen[h, name] = own
+                                size += len(snippet)
+                            out.append(snippet)
+                        if size >= SENT:
+                            yield close()
+                            parts, names, out, size = [], [], [], 0
+        if parts:
+            yield close()
+
+    empty = lambda kind: F.lit(None).cast(kind)
+    every = (
+        shared.select("file", "group", F.lit(-1).cast("long").alias("index"), empty("long").alias("id"), "anchors", empty("binary").alias("text"))
+        .unionByName(leaders.select("file", "group", "index", empty("long").alias("id"), empty("binary").alias("anchors"), empty("binary").alias("text")))
+        .unionByName(rows.select("file", "group", "index", "id", empty("binary").alias("anchors"), F.col("text").cast("binary").alias("text")))
+    )
+    order = every.repartition("file", "group").sortWithinPartitions("file", "group", "index", F.col("text").isNotNull())
+    return order.mapInArrow(over, "anchor long, string long, id long, file long, index long, start int, n int, sent boolean, snippet binary")
 
 
 def least_ids(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
@@ -272,47 +309,31 @@ def resolved(anchor: np.ndarray, strings: list[bytes], ids: np.ndarray) -> list[
     several = np.flatnonzero(~alone)
     out: list[np.ndarray] = [ids[k : k + 1] for k in range(len(strings))]
     if len(several):
-        own = [strings[k] for k in several]
-        found = (in_parts if sum(map(len, own)) > LARGE else least_ids)(own, ids[several])
-        for k, x in zip(several.tolist(), found, strict=True):
+        for k, x in zip(several.tolist(), least_ids([strings[k] for k in several], ids[several]), strict=True):
             out[k] = x[:1] if (x == x[0]).all() else x
     return out
 
 
-def in_parts(strings: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-    """least_ids for very many strings: windows are dealt out by their hash, and each part is done by itself."""
-    n_parts = sum(map(len, strings)) * WIDTH // LARGE + 1
-    out = [np.full(len(s) - WIDTH + 1, NO_ID) for s in strings]
-    part = [gram_hashes(np.frombuffer(s, np.uint8), WIDTH)[: len(s) - WIDTH + 1] % np.uint64(n_parts) for s in strings]
-    for p in range(n_parts):
-        places = [np.flatnonzero(x == p).tolist() for x in part]
-        single = [s[k : k + WIDTH] for s, at in zip(strings, places, strict=True) for k in at]
-        if single:
-            found = iter(least_ids(single, np.repeat(ids, [len(at) for at in places])))
-            for o, at in zip(out, places, strict=True):
-                for k in at:
-                    o[k] = next(found)[0]
-    return out
-
-
 def window_ids(strings: DataFrame) -> DataFrame:
-    """strings: anchor, snippet, id (the smallest). Per string: anchor, string, and the least id of its windows
+    """strings: anchor, snippet, id (the smallest). Per string: anchor, string, n, and the least id of its windows
     if all have the same, else that of each window as bytes."""
 
     def over(batches):
         import pyarrow as pa
-        import xxhash
 
         held: list[tuple[int, bytes, int]] = []
         size = 0
 
         def close(rows):
             found = resolved(np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
-            columns = [[r[0] for r in rows], [xxhash.xxh64_intdigest(r[1], 5) - (1 << 63) for r in rows]]
-            columns += [[int(x[0]) if len(x) == 1 else None for x in found], [x.tobytes() if len(x) > 1 else None for x in found]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.binary()), strict=True)], ["anchor", "string", "same", "least"])
-
-        for batch in batches:
+            names = [(r[0], _name(r[1]), len(r[1]) - WIDTH + 1) for r in rows]
+            if len(set(names)) < len(names):
+                raise ValueError("two strings of one anchor have one hash; choose another seed for _name")
+            columns = [*zip(*names, strict=True), [int(x[0]) if len(x) == 1 else None for x in found], [x.tobytes() if len(x) > 1 else None for x in found]]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["anchor", "string", "n", "same", "least"])
+
+        for batch in slices(batches, 1):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= CHUNK and row[0] != held[-1][0]:
                     yield from close(held)
@@ -322,7 +343,60 @@ def window_ids(strings: DataFrame) -> DataFrame:
         if held:
             yield from close(held)
 
-    return strings.select("anchor", "snippet", "id").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(over, "anchor long, string long, same long, least binary")
+    return strings.select("anchor", "snippet", "id").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(over, "anchor long, string long, n int, same long, least binary")
+
+
+def large_anchors(found: DataFrame, n_bytes: int) -> DataFrame | None:
+    """anchor of each whose strings have more than LARGE bytes, None if there is none. Buckets of anchors are summed first, so
+    that few anchors need a sum of their own."""
+    n = max(65_536, 8 * n_bytes // LARGE)
+    sent = found.filter("sent").select("anchor", (F.col("n") + WIDTH - 1).cast("long").alias("size"), F.pmod("anchor", F.lit(n)).alias("bucket"))
+    heavy = stash(sent.groupBy("bucket").agg(F.sum("size").alias("all")).filter(F.col("all") > LARGE).select("bucket"), "heavy")
+    if heavy.isEmpty():
+        return None
+    own = sent.join(heavy, "bucket").groupBy("anchor").agg(F.sum("size").alias("all")).filter(F.col("all") > LARGE)
+    return stash(own.select("anchor"), "large")
+
+
+def split_windows(strings: DataFrame) -> DataFrame:
+    """window_ids for the strings of large anchors: each window is a string of its own, under its hash."""
+
+    def over(batches):
+        import pyarrow as pa
+
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+        columns = ["anchor", "string", "n", "k", "snippet", "id"]
+        for batch in slices(batches, 1, 200_000):
+            for anchor, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, name = len(text) - WIDTH + 1, _name(text)
+                for start in range(0, n, 50_000):
+                    at = range(start, min(n, start + 50_000))
+                    cells = [[anchor] * len(at), [name] * len(at), [n] * len(at), at, [text[k : k + WIDTH] for k in at], [own] * len(at)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], columns)
+
+    windows = strings.select("anchor", "snippet", "id").mapInArrow(over, "anchor long, string long, n int, k int, snippet binary, id long")
+    windows = stash(windows.withColumn("of", F.xxhash64("snippet")), "single-windows")
+    least = window_ids(windows.groupBy(F.col("of").alias("anchor"), "snippet").agg(F.min("id").alias("id")))
+    least = least.select(F.col("anchor").alias("of"), F.col("string").alias("name"), F.coalesce("same", F.lit(NO_ID)).alias("same"))
+
+    def named(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.append_column("name", pa.array(map(_name, batch.column(4).to_pylist()), pa.int64()))
+
+    known = windows.mapInArrow(named, "anchor long, string long, n int, k int, snippet binary, id long, of long, name long").drop("snippet", "id").join(least, ["of", "name"])
+    lists = known.groupBy("anchor", "string", "n").agg(F.sort_array(F.collect_list(F.struct("k", "same"))).alias("l")).select("anchor", "string", "n", F.col("l.same").alias("l"))
+
+    def packed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            blobs = [np.array(x, np.int64).tobytes() for x in batch.column(3).to_pylist()]
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], none, pa.array(blobs, pa.binary())], ["anchor", "string", "n", "same", "least"])
+
+    return lists.mapInArrow(packed, "anchor long, string long, n int, same long, least binary")
 
 
 def _merged(runs: np.ndarray) -> list[tuple[int, int]]:
@@ -345,11 +419,12 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """Per row: file, group, index (see _rows), doc_id, n_bytes, whole (all of it goes), starts (runs of the starts of removed windows, as bytes; null for none)."""
     spark = docs.sparkSession
     ship(spark)
-    n_parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = _rows(docs, id_col, text_col)
     digest = stash(
         rows.select("file", "group", "index", "doc_id", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "digest"
     )
+    n_bytes = digest.agg(F.sum("n_bytes")).first()[0] or 0
+    n_parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // PART)
     best = stash(digest.groupBy("sha").agg(F.min(F.struct("id", "file", "index")).alias("best"), F.count("*").alias("copies")), "texts")
     known = stash(digest.join(best.filter("copies > 1").select("sha", "best"), "sha", "left").select(
         "file", "group", "index", "doc_id", "id", "n_bytes", "sha",
@@ -362,14 +437,20 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     leaders = known.filter(F.col("lead") & (F.col("n_bytes") >= WIDTH))
     found = stash(snippets(rows, shared, leaders), "snippets")
     free(spark)
-    strings = found.filter(F.col("snippet").isNotNull()).groupBy("anchor", "snippet").agg(F.min("id").alias("id"))
-    least = stash(window_ids(strings), "windows")
+    large = large_anchors(found, n_bytes)
+    sent = found.filter("sent")
+    meet = lambda f: f.groupBy("anchor", "snippet").agg(F.min("id").alias("id"))
+    if large is None:
+        least = stash(window_ids(meet(sent)), "windows")
+    else:
+        few, many = sent.join(large, "anchor", "left_anti"), sent.join(large, "anchor", "left_semi")
+        least = stash(window_ids(meet(few)).unionByName(split_windows(meet(many))), "windows")
     free(spark)
 
     def over(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 5):
             file, index, ids, starts, sizes, leasts = (c.to_pylist() for c in batch.columns)
             out = []
             for f, i, own, start, n, blob in zip(file, index, ids, starts, sizes, leasts, strict=True):
@@ -385,7 +466,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     late = (
         found.select("anchor", "string", "file", "index", "id", "start", "n")
-        .join(least, ["anchor", "string"])
+        .join(least, ["anchor", "string", "n"])
         .filter(F.col("same").isNull() | (F.col("same") < F.col("id")))
         .select("file", "index", "id", "start", "n", "least")
     )

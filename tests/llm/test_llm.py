@@ -165,10 +165,16 @@ def test_personal_data(spark, sf):
     for _ in range(30_000):
         text = "".join(r.choice("aB.@@-0159+ ()_%x\n.4") for _ in range(r.randrange(1, 60)))
         assert [s[:3] for s in pii.detect(text) if s[0] in pii.BASE] == spans(text), text
+    for text in ("9" * 6000 + ".1.1.1", "1.1." * 500, "1 " * 1000, "a@" * 1000, "+1" * 1000, "(1) " * 500):
+        assert [s[:3] for s in pii.detect(text) if s[0] in ("email", "card", "phone")] == [s for s in spans(text.replace(".1.1.1", "")) if s[0] != "ip"]
+    for text in ("9" * 1_000_000, "1 " * 500_000, "a@" * 500_000, "+1" * 500_000, "1.1." * 250_000):
+        assert len(pii.detect(text)) <= 125_000  # linear: it ends
+    assert [s[:3] for s in pii.detect("0" * 5000 + ".1.2.3")] == [("ip", 0, 5006)] and pii.detect("1.2.3.256") == []
     got = {(g.doc_id, g.base_sha256) for g in registry.QUERIES["op3_pii"](spark, sf).collect()}
     assert got == {(x[0], hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans(x[1] or "")).encode()).hexdigest()) for x in ROWS}
     assert [s[0] for s in pii.detect("bank account GB82 WEST 1234 5698 7654 32 here")] == ["iban"]
     assert pii.detect("bank account GB83 WEST 1234 5698 7654 32 here") == [] and pii.mod97("DE89370400440532013000")
+    assert [s[0] for s in pii.detect("743 555 3824 is my phone")] == ["tel"]
     assert [s[0] for s in pii.detect("call 743 555 3824 now")] == ["tel"] and pii.detect("row 743 555 3824 now") == []
     masked = pii.redact(spark.read.parquet(f"{sf}/documents.parquet")).filter("doc_id = 50").first().text
     assert masked == "mail <EMAIL>, call <PHONE> or <CARD> from <IP> and 1.2.3.999"
@@ -288,10 +294,11 @@ def test_blocks_of_transforms():
         assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
-@pytest.mark.parametrize("large", [12_000_000, 200])
-def test_suffixes(spark, sf, large, monkeypatch):
-    got = Counter(map(tuple, suffix_dedup.reports(spark.read.parquet(f"{sf}/documents.parquet")).collect()))
+@pytest.mark.parametrize("large,long", [(2_000_000, 65_536), (200, 2_000)])
+def test_suffixes(spark, sf, large, long, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "LARGE", large)
+    monkeypatch.setattr(suffix_dedup, "LONG", long)
+    got = Counter(map(tuple, suffix_dedup.reports(spark.read.parquet(f"{sf}/documents.parquet")).collect()))
     first = {}
     ident = lambda r: suffix_dedup.NO_ID if r[0] is None else r[0]
     for r in ROWS:
@@ -308,10 +315,31 @@ def test_suffixes(spark, sf, large, monkeypatch):
         kept = bytes(x for x, g in zip(b, gone[1:]) if not g)
         want[r[0], len(b), int(gone.sum()), int((np.diff(gone) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
     assert got == want
-    strings = [(r[1] or "").encode() for r in ROWS if len((r[1] or "").encode()) >= 50][:12]
-    ids = np.arange(len(strings))[::-1].copy()
-    a, b = suffix_dedup.least_ids(strings, ids), suffix_dedup.in_parts(strings, ids)
-    assert all((x == y).all() for x, y in zip(a, b, strict=True))
+
+
+def test_one_anchor_in_very_many_rows(spark, tmp_path):
+    """A passage that 100,000 rows share, each time between other words: its anchors are split, so no task gets them all."""
+    import time
+
+    r = random.Random(8)
+    core = "".join(r.choice("abcdefgh ") for _ in range(60))
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(12))
+    texts = [f"{word()}{core}{word()}" for _ in range(100_000)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts})).repartition(8).write.parquet(path)
+    began = time.perf_counter()
+    got = {g.doc_id: (g.n_removed, g.n_spans) for g in suffix_dedup.reports(spark.read.parquet(path)).collect()}
+    print(f"{time.perf_counter() - began:.0f} s")
+    first = {}
+    for k, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], k)
+    for k, t in enumerate(texts):
+        gone = [False] * len(t)
+        for i in range(len(t) - 49):
+            if first[t[i : i + 50]] < k:
+                gone[i : i + 50] = [True] * 50
+        assert got[k] == (sum(gone), sum(b and not a for a, b in zip([False, *gone], gone, strict=False)))
 
 
 def test_passages(spark, sf):
