@@ -3,7 +3,7 @@
 Base kinds are reported whenever their pattern and check hold: email, ip (parts up to 255), card (Luhn), phone (9
 to 15 digits). Further kinds are reported from a score of THRESHOLD on: iban (mod 97), tel (a national number that
 only a word nearby, such as "call", makes a telephone number). Every span has a score: a start for its kind, more
-when a checksum confirms it, more or less for words within NEAR characters before it.
+when a checksum confirms it, more or less for words within NEAR characters before and behind it.
 
 Searches are linear in the text: patterns are possessive, and an address is found from its @ sign outwards.
 
@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import by_rows, ship
 
 KINDS = ("email", "ip", "card", "phone", "iban", "tel")
 BASE = KINDS[:4]
@@ -76,7 +76,7 @@ def _proposed(text: str):
     for start, end in _emails(text):
         yield "email", start, end, False
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split(".")):
             yield "ip", *m.span(), False
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(d := _DIGITS.sub("", m[0])) <= 19 and luhn(d):
@@ -91,12 +91,12 @@ def _proposed(text: str):
         yield "tel", *m.span(), False
 
 
-def _score(text: str, kind: str, start: int, confirmed: bool) -> float:
+def _score(text: str, kind: str, start: int, end: int, confirmed: bool) -> float:
     score, checked, *_ = SCORES[kind]
     score += checked * confirmed
-    before = text[max(0, start - NEAR) : start]
-    more, less = _NEARBY[kind]
-    return max(0.0, min(1.0, score + 0.3 * bool(more and more.search(before)) - 0.3 * bool(less and less.search(before))))
+    near = text[max(0, start - NEAR) : start], text[end : end + NEAR]
+    more, less = (bool(words and any(map(words.search, near))) for words in _NEARBY[kind])
+    return max(0.0, min(1.0, score + 0.3 * more - 0.3 * less))
 
 
 def detect(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -105,7 +105,7 @@ def detect(text: str | None) -> list[tuple[str, int, int, float]]:
         return []
     found, taken = [], []
     for kind, start, end, confirmed in _proposed(text):
-        score = _score(text, kind, start, confirmed)
+        score = _score(text, kind, start, end, confirmed)
         if kind in BASE:
             taken.append((start, end))
         elif score < THRESHOLD or any(a < end and start < b for a, b in taken):
@@ -120,15 +120,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = docs.schema[id_col].dataType.simpleString()
     span = "array<struct<kind:string,start:long,end:long,score:double>>"
 
-    def over(batches):
+    def rows(batch):
         import pyarrow as pa
 
         to = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-        for batch in batches:
-            spans = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in detect(x)] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, to)], ["doc_id", "spans"])
+        spans = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in detect(x)] for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, to)], ["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(over, f"doc_id {kind}, spans {span}")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_rows(rows), f"doc_id {kind}, spans {span}")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -144,13 +143,12 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 done = end
         return "".join([*out, text[done:]]) if out else text
 
-    def over(batches):
+    def rows(batch):
         import pyarrow as pa
 
-        for batch in batches:
-            yield batch.set_column(at, batch.schema.field(at), pa.array([masked(x) for x in batch.column(at).to_pylist()], batch.schema.field(at).type))
+        yield batch.set_column(at, batch.schema.field(at), pa.array([masked(x) for x in batch.column(at).to_pylist()], batch.schema.field(at).type))
 
-    return docs.mapInArrow(over, docs.schema)
+    return docs.mapInArrow(by_rows(rows, at=at), docs.schema)
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:

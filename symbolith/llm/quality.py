@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import by_rows, ship, slices
 
 SAMPLE, SAMPLE_CHARS = 400, 100_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -161,9 +161,7 @@ def reports(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         import pyarrow as pa
 
         types, names = [pa.int64()] * len(COUNTS) + [pa.bool_()] * 2, ["doc_id", *COUNTS, "base_failed", "kept"]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 1):
             found = [report(x) for x in batch.column(1).to_pylist()]  # one document's words are held at a time
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))], names)
 
@@ -177,14 +175,13 @@ def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ship(docs.sparkSession)
     order, at = cascade(docs, text_col), docs.columns.index(text_col)
 
-    def over(batches):
+    def rows(batch):
         import pyarrow as pa
 
-        for batch in batches:
-            keep = [verdict(Document(x), order) for x in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        keep = [verdict(Document(x), order) for x in batch.column(at).to_pylist()]
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(over, docs.schema)
+    return docs.mapInArrow(by_rows(rows, at=at), docs.schema)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
