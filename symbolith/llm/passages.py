@@ -1,20 +1,28 @@
 """Fuzzy passages that documents share, by collinear chaining of shared word k-mers.
 
-Words are runs other than ASCII white space, with A to Z in lower case. A text's seeds are the minimizers of its SEED-word
-shingles in windows of WINDOW shingles: two texts with SEED + WINDOW - 1 words in a row in common share a seed.
+Words are runs other than ASCII white space, with A to Z in lower case. A text's seeds are minimizers on two scales: of its
+five-word shingles in windows of WINDOWS[0], which find changed passages, and of its runs of LEAST_WORDS words in windows of
+WINDOWS[1], which make sure of unchanged ones.
 
-1. Groups of GROUP rows of a file list their seeds, each once with its first place by id. Where all lists of a seed meet,
-   the place with the smallest id, its home, is told to all groups that have the seed. So a passage of very many documents
-   gives each of them links to its home, never all pairs.
+1. Groups of GROUP rows of a file, or one text of more than LONG bytes, list their seeds, each once with its first place by
+   id. Where all lists of a seed meet, the place with the smallest id, its home, is told to all groups that have the seed. So
+   a passage of very many documents gives each of them links to its home, never all pairs.
 2. Each text orders its seeds' places by home document and chains them: a chain's score is its seeds less a cost for
    every word of a gap, and the best predecessor of a place, one that lies before it in both texts, is the largest prefix
    maximum of a Fenwick tree over places in the home. Chains part where a gap exceeds GAP words.
-3. Chains travel to their home's text with their words and are aligned: seeds by extension over equal words, gaps
-   by least edits. Where very many chains share a home its text is copied to several tasks, HOT chains for each. Passages of LEAST_WORDS words and a similarity of SIMILARITY (equal words over the longer side) are kept.
+3. Chains travel to their home's text with the words around them and are aligned: gaps between seeds by least edits, and
+   beyond the outer seeds across edits, as far as the score lasts. A chain whose alignment reaches the end of the words it
+   was sent with travels again with its whole text. Stretches of LEAST_WORDS words and a similarity of SIMILARITY (equal words
+   over the longer side) are kept. Where very many chains share a home its text is copied to several tasks, HOT chains for each.
+
+What is found: two texts with LEAST_WORDS + WINDOWS[1] - 1 (39) equal words in a row have a long seed in common, so each is told
+with a passage of the same row, its home, or one of them is that home: rows are links to representatives, and texts with the
+same representative are linked to each other. Of changed passages those are found that keep a five-word seed whose home is
+the text in question; README has the measured recall. A seed alone, without another shared seed within GAP words, isn't
+followed. Of a passage that its home has several times the first place is told.
 
 Texts that are equal as they stand are one class, led by the row of the smallest id: only leaders take part in 2 and
-3, and other rows are told as copies of their leader. A link between different texts is lost to no cap: there is none.
-A passage in which no SEED + WINDOW - 1 words in a row are equal can be missed; that is the method's sensitivity.
+3, and other rows are told as copies of their leader.
 
 Cases: a null text counts as empty; texts of fewer words than a seed have none; a null id counts as larger than every other, and
 rows of one id are told apart by file and position; equal rows are copies; an empty table gives an empty result; other columns
@@ -27,13 +35,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_FILE, ROW_INDEX, drop, free, keyed, ship, stash
+from .common import ROW_FILE, ROW_INDEX, drop, free, keyed, ship, slices, stash
 
-SEED, WINDOW, GROUP, GAP, GAP_COST, LEAST_WORDS, SIMILARITY, HOT = 8, 10, 512, 40, 0.04, 30, 0.8, 10_000
+GROUP, GAP, GAP_COST, LEAST_WORDS, SIMILARITY, HOT = 512, 40, 0.04, 30, 0.8, 10_000
+SEEDS, WINDOWS = (5, LEAST_WORDS), (8, 10)
+#: Words sent along on both sides of a cluster of shared seeds, and at most beyond a chain.
+MARGIN, WIDE = 24, 160
+#: How far an extension looks for where texts agree again, the loss of score at which it ends, and the similarity that scores nothing.
+AGAIN, LOSS, EVEN = 6, 8.0, 0.7
+LONG, PART, SENT = 65_536, 32_000_000, 4_000_000
 NO_ID = np.iinfo(np.int64).max
-MARGIN = 40
 _HOME = np.dtype([("seed", "<i8"), ("id", "<i8"), ("file", "<i8"), ("index", "<i8"), ("at", "<i4")])
 _PLACE = np.dtype([("seed", "<i8"), ("id", "<i8"), ("index", "<i8"), ("at", "<i4"), ("several", "?")])
+_FACTOR = 0x9E3779B97F4A7C15
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -42,24 +56,38 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, text.lower().split()), np.uint64)
 
 
-def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds and the numbers of their first words, in order."""
-    n = len(words) - SEED + 1
+def minimizers(words: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first words of the shingles of `size` words that are least in a run of `window` shingles, in order."""
+    n = len(words) - size + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    h = np.zeros(n, np.uint64)
-    for k in range(SEED):
-        h = (h ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-    width = min(WINDOW, n)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    power = np.full(len(words), _FACTOR, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power)
+    back = np.full(n, pow(_FACTOR, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    sums = np.r_[np.uint64(0), np.cumsum(words * power)]
+    h = (sums[size:] - sums[:-size]) * np.cumprod(back)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    width = min(window, n)
     view = np.lib.stride_tricks.sliding_window_view(h, width)
     at = np.unique(view.argmin(1) + np.arange(n - width + 1))
-    # where one word is said over and over every shingle is least: of equal seeds in a row one in WINDOW words does
-    new = np.r_[True, (h[at[1:]] != h[at[:-1]]) | (at[1:] - at[:-1] >= WINDOW)]
+    # where one word is said over and over every shingle is least: of equal seeds in a row one in `window` words does
+    new = np.r_[True, (h[at[1:]] != h[at[:-1]]) | (at[1:] - at[:-1] >= window)]
     first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-    step = (at - first) // WINDOW
+    step = (at - first) // window
     at = at[new | np.r_[True, step[1:] != step[:-1]]]
-    return h[at].view(np.int64), at.astype(np.int32)
+    return h[at], at
+
+
+def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds, odd ones of long runs, and the numbers of their first words, in order."""
+    (h, a), (k, b) = (minimizers(words, size, window) for size, window in zip(SEEDS, WINDOWS, strict=True))
+    found, at = np.r_[h & ~np.uint64(1), k | np.uint64(1)], np.r_[a, b]
+    order = np.argsort(at, kind="stable")
+    return found[order].view(np.int64), at[order].astype(np.int32)
 
 
 def chains(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
@@ -120,43 +148,123 @@ def equal_words(a: list[int], b: list[int]) -> int:
     return n - row[-1][1]
 
 
-def aligned(own: list[int], home: list[int], places: list[tuple[int, int]]) -> tuple[int, int, int, int, int]:
-    """Start and end in own, start and end in home, and equal words, of a chain of places with SEED equal words each."""
-    a, b = places[0]
-    start = a, b
-    while start[0] and start[1] and own[start[0] - 1] == home[start[1] - 1]:
-        start = start[0] - 1, start[1] - 1
-    i, j = start
-    same = 0
-    for a, b in places:
-        if a < i or b < j:  # it overlaps what is aligned
+Segment = tuple[int, int, int, int, int]  # start and end in own, start and end in home, equal words
+
+
+def beyond(own: list[int], home: list[int], i: int, j: int) -> list[Segment]:
+    """Segments from (i, j) on: equal words, and the words between them where the texts differ."""
+    out: list[Segment] = []
+    score = best = 0.0
+    kept, n, m = 0, len(own), len(home)
+    while i < n and j < m and score > best - LOSS:
+        a = i
+        while i < n and j < m and own[i] == home[j]:
+            i, j = i + 1, j + 1
+        if i > a:
+            out.append((a, i, j - (i - a), j, i - a))
+            score += (1 - EVEN) * (i - a)
+            if score > best:
+                best, kept = score, len(out)
+        # the least step after which two words, or all that is left, agree
+        for step in range(1, AGAIN + 1):
+            to = next(
+                ((x, y) for x, y in [(step, step), *((step, y) for y in range(step)), *((x, step) for x in range(step))]
+                 if i + x < n and j + y < m and own[i + x] == home[j + y] and own[i + x + 1 : i + x + 2] == home[j + y + 1 : j + y + 2]), None
+            )
+            if to:
+                break
+        else:
+            break
+        out.append((i, i + to[0], j, j + to[1], 0))
+        score -= EVEN * step
+        i, j = i + to[0], j + to[1]
+    return out[:kept]
+
+
+def segments(own: list[int], home: list[int], places: list[tuple[int, int, int]]) -> list[Segment]:
+    """An alignment along a chain of places (word in own, word in home, equal words), and beyond it on both sides."""
+    out: list[Segment] = []
+    i = j = None
+    for a, b, size in places:
+        if own[a : a + size] != home[b : b + size]:
             continue
-        same += equal_words(own[i:a], home[j:b]) + SEED
-        i, j = a + SEED, b + SEED
-    while i < len(own) and j < len(home) and own[i] == home[j]:
-        i, j, same = i + 1, j + 1, same + 1
-    return start[0], i, start[1], j, same
+        if i is not None and (a < i or b < j):
+            if a - i == b - j and a + size > i:  # it goes on with what is aligned
+                out.append((i, a + size, j, b + size, a + size - i))
+                i, j = a + size, b + size
+            continue
+        if i is None:
+            n, m = a, b
+            before = beyond(own[:n][::-1], home[:m][::-1], 0, 0)
+            out = [(n - y, n - x, m - w, m - v, same) for x, y, v, w, same in reversed(before)]
+        elif (a, b) != (i, j):
+            out.append((i, a, j, b, equal_words(own[i:a], home[j:b])))
+        out.append((a, a + size, b, b + size, size))
+        i, j = a + size, b + size
+    return out + (beyond(own, home, i, j) if i is not None else [])
+
+
+def _best(found: list[Segment], even: float) -> tuple[int, int] | None:
+    """The consecutive segments of the best score, in which a similarity of `even` scores nothing."""
+    best, score, start, to = 0.0, 0.0, 0, None
+    for k, (a, b, c, d, same) in enumerate(found):
+        score += same - even * max(b - a, d - c)
+        if score > best:
+            best, to = score, (start, k + 1)
+        if score <= 0:
+            score, start = 0.0, k + 1
+    return to
+
+
+def alike(found: list[Segment]) -> list[Segment]:
+    """Of consecutive segments those that score best at EVEN, or else at SIMILARITY, joined, then what is left on both sides; each
+    of LEAST_WORDS words and SIMILARITY at least."""
+    out, todo = [], [found]
+    while todo:
+        part = todo.pop()
+        if not part or part[-1][1] - part[0][0] < LEAST_WORDS:
+            continue
+        for even in (EVEN, SIMILARITY):
+            if not (to := _best(part, even)):
+                break
+            own = part[slice(*to)]
+            a, b, c, d, same = own[0][0], own[-1][1], own[0][2], own[-1][3], sum(p[4] for p in own)
+            if same >= SIMILARITY * max(b - a, d - c) - 1e-9:
+                break
+        if to:
+            if b - a >= LEAST_WORDS and same >= SIMILARITY * max(b - a, d - c) - 1e-9:
+                out.append((a, b, c, d, same))
+            todo += [part[: to[0]], part[to[1] :]]
+    return sorted(out)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     index = F.col(ROW_INDEX)
+    group = F.when(F.coalesce(F.octet_length(text_col), F.lit(0)) > LONG, -1 - index).otherwise(F.floor(index / GROUP).cast("long"))
     return keyed(docs).select(
-        F.xxhash64(ROW_FILE).alias("file"), F.floor(index / GROUP).cast("long").alias("group"), index.alias("index"),
+        F.xxhash64(ROW_FILE).alias("file"), group.alias("group"), index.alias("index"),
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
     )
 
 
+def _batch(rows: list[tuple], columns: dict):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), columns.values(), strict=True)], list(columns))
+
+
 def seed_lists(rows: DataFrame, n_parts: int) -> DataFrame:
     """Per group and part of the seeds: part, file, group, places (the first of each seed by id, index and word)."""
 
     def over(batches):
         import pyarrow as pa
 
-        held, key = [], None
+        columns = {"part": pa.int64(), "file": pa.int64(), "group": pa.int64(), "places": pa.binary()}
+        held: dict[tuple[int, int], list] = {}
 
-        def close():
-            place = np.concatenate(held)
+        def close(key):
+            place = np.concatenate(held.pop(key))
             place = place[np.lexsort((place["at"], place["index"], place["id"], place["seed"]))]
             first = np.r_[True, place["seed"][1:] != place["seed"][:-1]][: len(place)]
             at = np.cumsum(first) - 1
@@ -167,23 +275,26 @@ def seed_lists(rows: DataFrame, n_parts: int) -> DataFrame:
             place["several"] = several
             part = (place["seed"] >> 20) % n_parts
             order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-            out = [(p, *key, place[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True])
+            out = [(int(part[order[a]]), *key, place[order[a:b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 3, pa.binary()), strict=True)], ["part", "file", "group", "places"])
+                yield _batch(out, columns)
 
-        for batch in batches:
+        for batch in slices(batches, 4):
             for file, group, index, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (file, group):
-                    if held:
-                        yield from close()
-                    held, key = [], (file, group)
+                key = (file, group)
+                if key not in held:
+                    for other in list(held) if group >= 0 else []:  # rows come in the order of the file
+                        yield from close(other)
+                    held[key] = []
                 found, at = seeds(word_hashes(text))
                 place = np.zeros(len(found), _PLACE)
                 place["seed"], place["id"], place["index"], place["at"] = found, own, index, at
-                held.append(place)
-        if held:
-            yield from close()
+                held[key].append(place)
+                if group < 0:
+                    yield from close(key)
+        for other in list(held):
+            yield from close(other)
 
     return rows.select("file", "group", "index", "id", "text").mapInArrow(over, "part long, file long, group long, places binary")
 
@@ -194,6 +305,7 @@ def homes(lists: DataFrame, n_parts: int) -> DataFrame:
     def over(batches):
         import pyarrow as pa
 
+        columns = {"file": pa.int64(), "group": pa.int64(), "homes": pa.binary()}
         held: list[tuple] = []
         part = None
 
@@ -221,9 +333,9 @@ def homes(lists: DataFrame, n_parts: int) -> DataFrame:
                 if (k := k[shared[k]]).size:
                     out.append((f, g, home[k].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "group", "homes"])
+                yield _batch(out, columns)
 
-        for batch in batches:
+        for batch in slices(batches, 3):
             for p, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if p != part and held:
                     yield from close()
@@ -236,101 +348,157 @@ def homes(lists: DataFrame, n_parts: int) -> DataFrame:
     return lists.repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(over, "file long, group long, homes binary")
 
 
+def _found(words: np.ndarray, known: np.ndarray, file: int, index: int):
+    """Chains of a text: home file, index and id, start and end of the words to send, places."""
+    found, at = seeds(words)
+    if not len(found):
+        return
+    k = np.minimum(np.searchsorted(known["seed"], found), len(known) - 1)
+    ok = (known["seed"][k] == found) & ~((known["file"][k] == file) & (known["index"][k] == index))
+    met, at = known[k[ok]], at[ok]
+    if not len(met):
+        return
+    size = np.where(met["seed"] & 1, SEEDS[1], SEEDS[0])
+    reach = np.maximum.accumulate(at + size)
+    cuts = np.flatnonzero(np.r_[True, at[1:] - reach[:-1] > GAP, True])  # clusters of seeds, whatever their home
+    low, high, several = np.repeat(at[cuts[:-1]], np.diff(cuts)), np.repeat(reach[cuts[1:] - 1], np.diff(cuts)), np.repeat(np.diff(cuts) > 1, np.diff(cuts))
+    order = np.lexsort((met["at"], at, met["index"], met["file"]))
+    order = order[several[order] | (size[order] > SEEDS[0])]
+    met, at, size, low, high = met[order], at[order], size[order], low[order], high[order]
+    cuts = np.flatnonzero((met["index"][1:] != met["index"][:-1]) | (met["file"][1:] != met["file"][:-1])) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(met)], strict=True):
+        for chain in chains(at[a:b], met["at"][a:b]) if b > a else ():
+            first, last = a + chain[0], a + chain[-1]
+            start = max(0, max(int(low[first]) - MARGIN, int(at[first]) - WIDE))
+            end = min(len(words), min(int(high[last]) + MARGIN, int(at[last]) + WIDE + int(size[last])))
+            places = np.stack([at[a:b][chain], met["at"][a:b][chain], size[a:b][chain]], 1).astype(np.int32)
+            yield int(met["file"][a]), int(met["index"][a]), int(met["id"][a]), start, end, places.tobytes()
+
+
 def chained(rows: DataFrame, home: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Chains of leaders that could be a passage: where they lead (file, group, index, other), whose they are (id, own_file, own_index),
-    start (of the words sent along), places (pairs of word numbers) and words."""
+    """Chains of leaders that could be a passage: where they lead (file, index, other), whose they are (id, own_file, own_index),
+    start (of the words sent along), n_words (of the text), places (word numbers and sizes) and words. A task holds the homes of one group."""
 
-    def over(_, left, right):
+    def over(batches):
         import pyarrow as pa
 
-        blobs = [b for b in right.column("homes").to_pylist() if b is not None]
-        lead = {i for i in right.column("index").to_pylist() if i is not None}
-        out = []
-        if blobs and lead and left.num_rows:
-            known = np.concatenate([np.frombuffer(b, _HOME) for b in blobs])
-            known = known[np.argsort(known["seed"])]
-            file = left.column("file")[0].as_py()
-            for index, own, text in zip(*(left.column(c).to_pylist() for c in ("index", "id", "text")), strict=True):
-                if index not in lead:
-                    continue
-                words = word_hashes(text)
-                found, at = seeds(words)
-                if not len(found):
-                    continue
-                k = np.minimum(np.searchsorted(known["seed"], found), len(known) - 1)
-                ok = (known["seed"][k] == found) & ~((known["file"][k] == file) & (known["index"][k] == index))
-                met, at = known[k[ok]], at[ok]
-                if not len(met):
-                    continue
-                order = np.lexsort((met["at"], at, met["index"], met["file"]))
-                met, at = met[order], at[order]
-                cuts = np.flatnonzero((met["index"][1:] != met["index"][:-1]) | (met["file"][1:] != met["file"][:-1])) + 1
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(met)], strict=True):
-                    x, y = at[a:b], met["at"][a:b]
-                    for chain in chains(x, y):
-                        first, last = int(x[chain[0]]), int(x[chain[-1]])
-                        start = max(0, first - MARGIN)
-                        places = np.stack([x[chain], y[chain]], 1).astype(np.int32).tobytes()
-                        sent = words[start : last + SEED + MARGIN].tobytes()
-                        out.append((int(met["file"][a]), int(met["index"][a]) // GROUP, int(met["index"][a]), int(met["id"][a]), own, file, index, start, places, sent))
-        kinds = (*[pa.int64()] * 8, pa.binary(), pa.binary())
-        names = ["file", "group", "index", "other", "id", "own_file", "own_index", "start", "places", "words"]
-        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
-        return pa.Table.from_arrays(columns, names)
-
-    sides = home.select("file", "group", "homes", F.lit(None).cast("long").alias("index")).unionByName(leaders.select("file", "group", F.lit(None).cast("binary").alias("homes"), "index"))
-    return rows.select("file", "group", "index", "id", "text").groupBy("file", "group").cogroup(sides.groupBy("file", "group")).applyInArrow(
-        over, "file long, group long, index long, other long, id long, own_file long, own_index long, start long, places binary, words binary"
-    )
+        columns = dict.fromkeys(["file", "index", "other", "id", "own_file", "own_index", "start", "n_words"], pa.int64()) | {"places": pa.binary(), "words": pa.binary()}
+        group, lead, blobs, known = None, None, [], None
+        out, size = [], 0
+        for batch in slices(batches, 5):
+            for f, g, i, own, places, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != (f, g):
+                    group, lead, blobs, known = (f, g), None, [], None
+                if places is not None:
+                    blobs.append(np.frombuffer(places, _HOME))
+                elif text is None:
+                    lead = i
+                elif lead == i and (blobs or known is not None):
+                    if blobs:
+                        known = np.concatenate(blobs)
+                        known, blobs = known[np.argsort(known["seed"])], []
+                    words = word_hashes(text)
+                    for file, index, other, start, end, line in _found(words, known, f, i):
+                        sent = words[start:end].tobytes()
+                        out.append((file, index, other, own, f, i, start, len(words), line, sent))
+                        size += len(sent) + len(line) + 64
+                        if size >= SENT:
+                            yield _batch(out, columns)
+                            out, size = [], 0
+        if out:
+            yield _batch(out, columns)
+
+    empty = lambda kind: F.lit(None).cast(kind)
+    every = (
+        home.select("file", "group", F.lit(-1).cast("long").alias("index"), empty("long").alias("id"), "homes", empty("binary").alias("text"))
+        .unionByName(leaders.select("file", "group", "index", empty("long").alias("id"), empty("binary").alias("homes"), empty("binary").alias("text")))
+        .unionByName(rows.select("file", "group", "index", "id", empty("binary").alias("homes"), "text"))
+    )
+    order = every.repartition("file", "group").sortWithinPartitions("file", "group", "index", F.col("text").isNotNull())
+    return order.mapInArrow(over, "file long, index long, other long, id long, own_file long, own_index long, start long, n_words long, places binary, words binary")
 
 
 def passages(rows: DataFrame, chain: DataFrame) -> DataFrame:
-    """Aligned chains: id, other, start_word, end_word, other_start, other_end, similarity."""
+    """Aligned chains: id, other, start_word, end_word, other_start, other_end, similarity; and open chains, whose alignment goes
+    beyond the words sent along: file, index, other, id, own_file, own_index, places. A task holds one text and one chain."""
 
-    def over(_, left, right):
+    def over(batches):
         import pyarrow as pa
 
-        out = []
-        if left.num_rows and right.num_rows:
-            wanted = set(right.column("index").to_pylist())
-            words = {i: word_hashes(t.as_py()).tolist() for i, t in zip(left.column("index").to_pylist(), left.column("text"), strict=True) if i in wanted}
-            names = ("own_file", "own_index", "index", "start", "id", "other", "places", "words")
-            last, end = None, 0
-            for own_file, own_index, index, start, own, other, places, sent in sorted(zip(*(right.column(c).to_pylist() for c in names), strict=True)):
-                if last != (own_file, own_index, index):
-                    last, end = (own_file, own_index, index), 0
-                if int(np.frombuffer(places, np.int32)[-2]) + SEED <= end:
+        columns = dict.fromkeys(["id", "other", "start_word", "end_word", "other_start", "other_end"], pa.int64()) | {"similarity": pa.float64()}
+        columns |= dict.fromkeys(["file", "index", "own_file", "own_index"], pa.int64()) | {"places": pa.binary()}
+        home, at, last, done, out = None, None, None, [], []
+        for batch in slices(batches, 9):
+            for file, index, copy, text, own_file, own_index, start, n, places, sent, own, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text is not None:
+                    home, at = word_hashes(text).tolist(), (file, index, copy)
+                    continue
+                if at != (file, index, copy):
+                    raise ValueError("a chain without its home")
+                if last != (at, own_file, own_index):
+                    last, done = (at, own_file, own_index), []
+                line = [(a - start, b, size) for a, b, size in np.frombuffer(places, np.int32).reshape(-1, 3).tolist()]
+                if any(all(a <= x + start and x + size + start <= b and c <= y and y + size <= d for x, y, size in line) for a, b, c, d in done):
                     continue  # a passage with this text holds the chain already
                 mine = np.frombuffer(sent, np.uint64).tolist()
-                pairs = np.frombuffer(places, np.int32).reshape(-1, 2) - np.array([start, 0], np.int32)
-                a, b, c, d, same = aligned(mine, words[index], [tuple(p) for p in pairs.tolist()])
-                longer = max(b - a, d - c)
-                if b - a >= LEAST_WORDS and same >= SIMILARITY * longer:
-                    out.append((own, other, a + start, b + start, c, d, same / longer))
-                    end = max(end, b + start)
-        kinds = (*[pa.int64()] * 6, pa.float64())
-        columns = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
-        return pa.Table.from_arrays(columns, ["id", "other", "start_word", "end_word", "other_start", "other_end", "similarity"])
-
-    hot = stash(chain.groupBy("file", "group").count().filter(F.col("count") > HOT).select("file", "group", F.ceil(F.col("count") / HOT).cast("int").alias("n")), "hot")
+                found = segments(mine, home, line)
+                if found and (found[0][0] == 0 and start or found[-1][1] == len(mine) and start + len(mine) < n):
+                    out.append((own, other, *[None] * 5, file, index, own_file, own_index, places))
+                else:
+                    for a, b, c, d, same in alike(found):
+                        done.append((a + start, b + start, c, d))
+                        out.append((own, other, *done[-1], same / max(b - a, d - c), *[None] * 5))
+                if len(out) >= 10_000:
+                    yield _batch(out, columns)
+                    out = []
+        if out:
+            yield _batch(out, columns)
+
+    hot = stash(chain.groupBy("file", "index").agg(F.ceil(F.count("*") / HOT).cast("int").alias("n")).filter("n > 1"), "hot")
     if hot.count() <= 1_000_000:  # of 20 bytes; a plain join beyond
         hot = F.broadcast(hot)
     n = F.coalesce("n", F.lit(1))
-    texts = rows.select("file", "group", "index", "text").join(hot, ["file", "group"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1))).drop("n")
-    chain = chain.join(hot, ["file", "group"], "left").withColumn("copy", F.pmod(F.xxhash64("own_file", "own_index"), n).cast("int")).drop("n")
-    return texts.groupBy("file", "group", "copy").cogroup(chain.groupBy("file", "group", "copy")).applyInArrow(
-        over, "id long, other long, start_word long, end_word long, other_start long, other_end long, similarity double"
+    empty = lambda kind: F.lit(None).cast(kind)
+    texts = rows.select("file", "index", "text").join(hot, ["file", "index"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1))).drop("n")
+    chain = chain.join(hot, ["file", "index"], "left").withColumn("copy", F.pmod(F.xxhash64("own_file", "own_index"), n).cast("int")).drop("n")
+    longs, blobs = ["own_file", "own_index", "start", "n_words"], ["places", "words"]
+    every = texts.select("file", "index", "copy", "text", *(empty("long").alias(c) for c in longs), *(empty("binary").alias(c) for c in blobs), *(empty("long").alias(c) for c in ("id", "other"))).unionByName(
+        chain.select("file", "index", "copy", empty("binary").alias("text"), *longs, *blobs, "id", "other")
+    )
+    by = ["file", "index", "copy"]
+    order = every.repartition(*by).sortWithinPartitions(*by, F.col("text").isNull(), "own_file", "own_index", "start", "places")
+    return order.mapInArrow(
+        over, "id long, other long, start_word long, end_word long, other_start long, other_end long, similarity double, file long, index long, own_file long, own_index long, places binary"
     )
 
 
+def again(rows: DataFrame, open_: DataFrame) -> DataFrame:
+    """Open chains with all words of their text."""
+
+    def over(batches):
+        import pyarrow as pa
+
+        columns = dict.fromkeys(["file", "index", "other", "id", "own_file", "own_index", "start", "n_words"], pa.int64()) | {"places": pa.binary(), "words": pa.binary()}
+        for batch in slices(batches, 7, 200_000):
+            out = []
+            for *key, places, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = word_hashes(text)
+                out.append((*key, 0, len(words), places, words.tobytes()))
+            yield _batch(out, columns)
+
+    texts = rows.select(F.col("file").alias("own_file"), F.col("index").alias("own_index"), "text")
+    joined = open_.join(texts, ["own_file", "own_index"]).select("file", "index", "other", "id", "own_file", "own_index", "places", "text")
+    return joined.mapInArrow(over, "file long, index long, other long, id long, own_file long, own_index long, start long, n_words long, places binary, words binary")
+
+
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of kind `passage`: doc_id, start_word, end_word and the passage of other_id they repeat; and of kind `copy`: doc_id,
     whose text is that of other_id, the smallest id that has it. Between copies nothing more is told."""
     spark = docs.sparkSession
     ship(spark)
-    n_parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = _rows(docs, id_col, text_col)
-    digest = stash(rows.select("file", "group", "index", "id", F.sha2("text", 256).alias("sha")), "digest")
+    digest = stash(rows.select("file", "group", "index", "id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "digest")
+    n_parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), (digest.agg(F.sum("n_bytes")).first()[0] or 0) // PART)
     best = stash(digest.groupBy("sha").agg(F.min(F.struct("id", "file", "index")).alias("best"), F.count("*").alias("copies")).filter("copies > 1").select("sha", "best"), "texts")
     known = stash(digest.join(best, "sha", "left").select("file", "group", "index", "id", "best"), "known")
     lead = F.coalesce((F.col("file") == F.col("best.file")) & (F.col("index") == F.col("best.index")), F.lit(True))
@@ -339,10 +507,18 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chain = stash(chained(rows, home, known.filter(lead)), "chains")
     drop(home)
     free(spark)
-    whole = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias("doc_id" if c == "id" else "other_id")
     place = ["start_word", "end_word", "other_start", "other_end"]
+    first = stash(passages(rows, chain), "passages")
+    drop(chain)
+    free(spark)
+    found = first.filter(F.col("places").isNull())
+    open_ = first.filter(F.col("places").isNotNull()).select("file", "index", "other", "id", "own_file", "own_index", "places")
+    if not open_.isEmpty():
+        found = found.unionByName(passages(rows, stash(again(rows, open_), "again")))
+    found = found.select("id", "other", *place, "similarity").distinct()
+    whole = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias("doc_id" if c == "id" else "other_id")
     copies = known.filter(~lead).select("id", F.col("best.id").alias("other")).select(F.lit("copy").alias("kind"), whole("id"), whole("other"), *(F.lit(None).cast("long").alias(c) for c in place), F.lit(1.0).alias("similarity"))
-    return passages(rows, chain).select(F.lit("passage").alias("kind"), whole("id"), whole("other"), *place, "similarity").unionByName(copies)
+    return found.select(F.lit("passage").alias("kind"), whole("id"), whole("other"), *place, "similarity").unionByName(copies)
 
 
 def op8_passages(spark, sf_dir: str) -> DataFrame:

@@ -350,9 +350,6 @@ def test_passages(spark, sf):
     assert not any(100 <= (d or 0) <= 102 for d, _ in pairs)
     one = next(g for g in got if (g.doc_id, g.other_id) == (12, 3))
     assert (one.start_word, one.end_word, one.similarity) == (0, 400, 399 / 400)
-    x, y = np.array([0, 5, 10, 12, 15]), np.array([0, 5, 200, 10, 15])
-    assert passages.chains(x, y)[0] == [0, 1, 3, 4]
-    assert passages.equal_words([1, 2, 3, 4], [1, 9, 3, 4]) == 3 and passages.equal_words([], [1]) == 0
 
 
 def test_quality(spark, sf):
