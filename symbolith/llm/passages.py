@@ -37,23 +37,74 @@ from pyspark.sql import functions as F
 
 from .common import ROW_FILE, ROW_INDEX, drop, free, keyed, ship, slices, stash
 
-GROUP, GAP, GAP_COST, LEAST_WORDS, SIMILARITY, HOT = 512, 40, 0.04, 30, 0.8, 10_000
+GROUP, GAP, GAP_COST, LEAST_WORDS, SIMILARITY, HOT = 512, 40, 0.04, 30, 0.8, 1000
 SEEDS, WINDOWS = (5, LEAST_WORDS), (8, 10)
 #: Words sent along on both sides of a cluster of shared seeds, and at most beyond a chain.
 MARGIN, WIDE = 24, 160
 #: How far an extension looks for where texts agree again, the loss of score at which it ends, and the similarity that scores nothing.
 AGAIN, LOSS, EVEN = 6, 8.0, 0.7
-LONG, PART, SENT = 65_536, 32_000_000, 4_000_000
+LONG, PART, SENT = 65_536, 8_000_000, 4_000_000
 NO_ID = np.iinfo(np.int64).max
 _HOME = np.dtype([("seed", "<i8"), ("id", "<i8"), ("file", "<i8"), ("index", "<i8"), ("at", "<i4")])
 _PLACE = np.dtype([("seed", "<i8"), ("id", "<i8"), ("index", "<i8"), ("at", "<i4"), ("several", "?")])
 _FACTOR = 0x9E3779B97F4A7C15
 
 
+class _Tables:
+    """Powers of _FACTOR and of its inverse, and a number for each byte: 0 for white space, the same for A to Z as for a to z."""
+
+    def __init__(self):
+        self.byte = np.random.default_rng(11).integers(1, 2**64, 256, np.uint64)
+        self.byte[65:91] = self.byte[97:123]
+        self.byte[[9, 10, 11, 12, 13, 32]] = 0
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.power):
+            size = max(2 * len(self.power), n, 1 << 16)
+            made = []
+            for factor in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
+                line = np.full(size, factor, np.uint64)
+                line[0] = 1
+                made.append(np.cumprod(line))
+            self.power, self.inverse = made
+        return self.power[:n], self.inverse[:n]
+
+
+_tables = _Tables()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def split_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends (bytes) of the words of a text."""
+    value = _tables.byte[np.frombuffer(text, np.uint8)]
+    edge = np.flatnonzero(np.diff(np.r_[False, value != 0, False].view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends
+    power, inverse = _tables.powers(len(value))
+    value *= power
+    return _mixed(np.add.reduceat(value, starts) * inverse[starts]), starts, ends
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    import xxhash
+    return split_words(text)[0]
+
 
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, text.lower().split()), np.uint64)
+def _sliding(values: np.ndarray, width: int, of) -> np.ndarray:
+    """of (minimum or maximum) over each run of width values."""
+    out, n = values, 1
+    while n < width:
+        step = min(n, width - n)
+        out = of(out[:-step], out[step:])
+        n += step
+    return out
 
 
 def minimizers(words: np.ndarray, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,24 +112,21 @@ def minimizers(words: np.ndarray, size: int, window: int) -> tuple[np.ndarray, n
     n = len(words) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    power = np.full(len(words), _FACTOR, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power)
-    back = np.full(n, pow(_FACTOR, -1, 1 << 64), np.uint64)
-    back[0] = 1
-    sums = np.r_[np.uint64(0), np.cumsum(words * power)]
-    h = (sums[size:] - sums[:-size]) * np.cumprod(back)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
+    power, inverse = _tables.powers(len(words))
+    sums = np.empty(len(words) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(words * power, out=sums[1:])
+    h = _mixed((sums[size:] - sums[:-size]) * inverse[:n])
     width = min(window, n)
-    view = np.lib.stride_tricks.sliding_window_view(h, width)
-    at = np.unique(view.argmin(1) + np.arange(n - width + 1))
+    least = _sliding(h, width, np.minimum)
+    fill = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate([fill, least, fill]), width, np.maximum) == h)  # the least of some run
     # where one word is said over and over every shingle is least: of equal seeds in a row one in `window` words does
     new = np.r_[True, (h[at[1:]] != h[at[:-1]]) | (at[1:] - at[:-1] >= window)]
-    first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-    step = (at - first) // window
-    at = at[new | np.r_[True, step[1:] != step[:-1]]]
+    if not new.all():
+        first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        step = (at - first) // window
+        at = at[new | np.r_[True, step[1:] != step[:-1]]]
     return h[at], at
 
 
@@ -367,7 +415,7 @@ def _found(words: np.ndarray, known: np.ndarray, file: int, index: int):
     met, at, size, low, high = met[order], at[order], size[order], low[order], high[order]
     cuts = np.flatnonzero((met["index"][1:] != met["index"][:-1]) | (met["file"][1:] != met["file"][:-1])) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(met)], strict=True):
-        for chain in chains(at[a:b], met["at"][a:b]) if b > a else ():
+        for chain in [[0]] if b - a == 1 else chains(at[a:b], met["at"][a:b]) if b > a else ():
             first, last = a + chain[0], a + chain[-1]
             start = max(0, max(int(low[first]) - MARGIN, int(at[first]) - WIDE))
             end = min(len(words), min(int(high[last]) + MARGIN, int(at[last]) + WIDE + int(size[last])))
@@ -377,7 +425,7 @@ def _found(words: np.ndarray, known: np.ndarray, file: int, index: int):
 
 def chained(rows: DataFrame, home: DataFrame, leaders: DataFrame) -> DataFrame:
     """Chains of leaders that could be a passage: where they lead (file, index, other), whose they are (id, own_file, own_index),
-    start (of the words sent along), n_words (of the text), places (word numbers and sizes) and words. A task holds the homes of one group."""
+    start (of the words sent along), n_words (of the text), places (word numbers and sizes) and words (a piece of the text). A task holds the homes of one group."""
 
     def over(batches):
         import pyarrow as pa
@@ -397,9 +445,9 @@ def chained(rows: DataFrame, home: DataFrame, leaders: DataFrame) -> DataFrame:
                     if blobs:
                         known = np.concatenate(blobs)
                         known, blobs = known[np.argsort(known["seed"])], []
-                    words = word_hashes(text)
+                    words, starts, ends = split_words(text)
                     for file, index, other, start, end, line in _found(words, known, f, i):
-                        sent = words[start:end].tobytes()
+                        sent = text[starts[start] : ends[end - 1]]
                         out.append((file, index, other, own, f, i, start, len(words), line, sent))
                         size += len(sent) + len(line) + 64
                         if size >= SENT:
@@ -418,8 +466,13 @@ def chained(rows: DataFrame, home: DataFrame, leaders: DataFrame) -> DataFrame:
     return order.mapInArrow(over, "file long, index long, other long, id long, own_file long, own_index long, start long, n_words long, places binary, words binary")
 
 
-def passages(rows: DataFrame, chain: DataFrame) -> DataFrame:
-    """Aligned chains: id, other, start_word, end_word, other_start, other_end, similarity; and open chains, whose alignment goes
+def _small(table: DataFrame) -> DataFrame:
+    """table, of a few numbers a row, to be broadcast if it has a million rows at most; a plain join beyond."""
+    return F.broadcast(table) if table.count() <= 1_000_000 else table
+
+
+def passages(rows: DataFrame, chain: DataFrame, ends: DataFrame) -> DataFrame:
+    """ends: file and index of each chain's home. Aligned chains: id, other, start_word, end_word, other_start, other_end, similarity; and open chains, whose alignment goes
     beyond the words sent along: file, index, other, id, own_file, own_index, places. A task holds one text and one chain."""
 
     def over(batches):
@@ -427,7 +480,7 @@ def passages(rows: DataFrame, chain: DataFrame) -> DataFrame:
 
         columns = dict.fromkeys(["id", "other", "start_word", "end_word", "other_start", "other_end"], pa.int64()) | {"similarity": pa.float64()}
         columns |= dict.fromkeys(["file", "index", "own_file", "own_index"], pa.int64()) | {"places": pa.binary()}
-        home, at, last, done, out = None, None, None, [], []
+        home, at, last, done, mine, out = None, None, None, [], None, []
         for batch in slices(batches, 9):
             for file, index, copy, text, own_file, own_index, start, n, places, sent, own, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text is not None:
@@ -436,11 +489,14 @@ def passages(rows: DataFrame, chain: DataFrame) -> DataFrame:
                 if at != (file, index, copy):
                     raise ValueError("a chain without its home")
                 if last != (at, own_file, own_index):
-                    last, done = (at, own_file, own_index), []
+                    last, done, mine = (at, own_file, own_index), [], None
+                if sent is not None:
+                    mine = word_hashes(sent).tolist()
+                if places is None:
+                    continue
                 line = [(a - start, b, size) for a, b, size in np.frombuffer(places, np.int32).reshape(-1, 3).tolist()]
                 if any(all(a <= x + start and x + size + start <= b and c <= y and y + size <= d for x, y, size in line) for a, b, c, d in done):
                     continue  # a passage with this text holds the chain already
-                mine = np.frombuffer(sent, np.uint64).tolist()
                 found = segments(mine, home, line)
                 if found and (found[0][0] == 0 and start or found[-1][1] == len(mine) and start + len(mine) < n):
                     out.append((own, other, *[None] * 5, file, index, own_file, own_index, places))
@@ -454,9 +510,8 @@ def passages(rows: DataFrame, chain: DataFrame) -> DataFrame:
         if out:
             yield _batch(out, columns)
 
-    hot = stash(chain.groupBy("file", "index").agg(F.ceil(F.count("*") / HOT).cast("int").alias("n")).filter("n > 1"), "hot")
-    if hot.count() <= 1_000_000:  # of 20 bytes; a plain join beyond
-        hot = F.broadcast(hot)
+    hot = stash(ends.groupBy("file", "index").agg(F.ceil(F.count("*") / HOT).cast("int").alias("n")).filter("n > 1"), "hot")
+    hot = _small(hot)
     n = F.coalesce("n", F.lit(1))
     empty = lambda kind: F.lit(None).cast(kind)
     texts = rows.select("file", "index", "text").join(hot, ["file", "index"], "left").withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1))).drop("n")
@@ -466,29 +521,22 @@ def passages(rows: DataFrame, chain: DataFrame) -> DataFrame:
         chain.select("file", "index", "copy", empty("binary").alias("text"), *longs, *blobs, "id", "other")
     )
     by = ["file", "index", "copy"]
-    order = every.repartition(*by).sortWithinPartitions(*by, F.col("text").isNull(), "own_file", "own_index", "start", "places")
+    order = every.repartition(*by).sortWithinPartitions(*by, F.col("text").isNull(), "own_file", "own_index", F.col("places").isNotNull(), "start", "places")
     return order.mapInArrow(
         over, "id long, other long, start_word long, end_word long, other_start long, other_end long, similarity double, file long, index long, own_file long, own_index long, places binary"
     )
 
 
 def again(rows: DataFrame, open_: DataFrame) -> DataFrame:
-    """Open chains with all words of their text."""
-
-    def over(batches):
-        import pyarrow as pa
-
-        columns = dict.fromkeys(["file", "index", "other", "id", "own_file", "own_index", "start", "n_words"], pa.int64()) | {"places": pa.binary(), "words": pa.binary()}
-        for batch in slices(batches, 7, 200_000):
-            out = []
-            for *key, places, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = word_hashes(text)
-                out.append((*key, 0, len(words), places, words.tobytes()))
-            yield _batch(out, columns)
-
-    texts = rows.select(F.col("file").alias("own_file"), F.col("index").alias("own_index"), "text")
-    joined = open_.join(texts, ["own_file", "own_index"]).select("file", "index", "other", "id", "own_file", "own_index", "places", "text")
-    return joined.mapInArrow(over, "file long, index long, other long, id long, own_file long, own_index long, start long, n_words long, places binary, words binary")
+    """Open chains and, for each text and home once, all words of the text; these rows have no places."""
+    pair = ["file", "index", "own_file", "own_index"]
+    texts = rows.select(F.col("file").alias("own_file"), F.col("index").alias("own_index"), F.col("text").alias("words"))
+    whole = texts.join(_small(open_.select(*pair).distinct()), ["own_file", "own_index"])
+    zero, empty = F.lit(0).cast("long"), lambda kind: F.lit(None).cast(kind)
+    place = [zero.alias("start"), zero.alias("n_words")]
+    return whole.select(*pair, empty("long").alias("id"), empty("long").alias("other"), *place, empty("binary").alias("places"), "words").unionByName(
+        open_.select(*pair, "id", "other", *place, "places", empty("binary").alias("words"))
+    )
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -508,13 +556,15 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop(home)
     free(spark)
     place = ["start_word", "end_word", "other_start", "other_end"]
-    first = stash(passages(rows, chain), "passages")
+    first = stash(passages(rows, chain, chain), "passages")
     drop(chain)
     free(spark)
     found = first.filter(F.col("places").isNull())
     open_ = first.filter(F.col("places").isNotNull()).select("file", "index", "other", "id", "own_file", "own_index", "places")
     if not open_.isEmpty():
-        found = found.unionByName(passages(rows, stash(again(rows, open_), "again")))
+        open_ = stash(open_, "open")
+        wanted = rows.join(_small(open_.select("file", "index").distinct()), ["file", "index"], "left_semi")
+        found = found.unionByName(passages(wanted, again(rows, open_), open_))
     found = found.select("id", "other", *place, "similarity").distinct()
     whole = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias("doc_id" if c == "id" else "other_id")
     copies = known.filter(~lead).select("id", F.col("best.id").alias("other")).select(F.lit("copy").alias("kind"), whole("id"), whole("other"), *(F.lit(None).cast("long").alias(c) for c in place), F.lit(1.0).alias("similarity"))
