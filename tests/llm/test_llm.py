@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from symbolith.llm import bpe, bwt, exact_dedup, html_blocks, html_extract, html_training, langid, mixing, passages, pii, quality, registry, simhash, suffix_dedup
 from symbolith.llm.components import components
@@ -126,12 +127,37 @@ def test_mixing(spark, sf):
     assert mixing.mix_documents(docs).columns == docs.columns
 
 
+def test_mixing_goes_through_the_tree(spark, sf, monkeypatch):
+    """Draws are dealt as the tree says: shards are disjoint, hold its quotas, are in the order of their places; another tree mixes otherwise."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    how = {"blocks": 16, "levels": 2}
+    mix = mixing.mixture(docs, **how).select("*", F.spark_partition_id().alias("part")).collect()
+    for part in {m.part for m in mix}:
+        own = [(m["shard"], m["place"]) for m in mix if m.part == part]
+        assert own == sorted(own)
+    assert len({(m.doc_id, m.text, m["shard"], m["place"]) for m in mix}) > 20
+    _, target, drawn = mixing.plan(docs, **how)
+    per = [d.asDict() for d in drawn.collect()]
+    ranks = {t["source"]: t["rank"] for t in target.collect()}
+    counts = Counter((ranks[d["source"]], d["shard"]) for d in per)
+    draws = Counter(ranks[d["source"]] for d in per)
+    quota = mixing.shard_quotas(spark.createDataFrame(list(draws.items()), "rank int, draws long"), 2, mixing.SEED).collect()
+    assert counts == Counter({(q["rank"], q["shard"]): q.end - q.start for q in quota if q.end > q.start})
+    assert max(Counter((d["source"], d["block"]) for d in per).values()) <= mixing.MOST
+    before = rows(registry.QUERIES["op2_mixing"](spark, sf))
+    tree = mixing.shard_quotas
+    monkeypatch.setattr(mixing, "shard_quotas", lambda per, levels, seed: tree(per, levels, seed + 100))
+    assert rows(registry.QUERIES["op2_mixing"](spark, sf)) != before
+
+
 def test_hypergeometric_draws(spark):
     """The splitting tree keeps quotas, splits evenly, and its draws have the right mean and spread."""
     per = spark.createDataFrame([(0, 600), (1, 300), (2, 100), (3, 0)], "rank int, draws long")
     left = []
     for seed in range(40):
-        ends = {r["rank"]: r.ends for r in mixing.shard_quotas(per, 3, seed * 10).collect()}
+        ends = {}
+        for x in sorted(mixing.shard_quotas(per, 3, seed * 10).collect()):
+            ends.setdefault(x["rank"], []).append(x.end)
         assert [ends[k][-1] for k in range(4)] == [600, 300, 100, 0] and all(e == sorted(e) for e in ends.values())
         sizes = np.diff(np.array([[0, *ends[k]] for k in range(4)]), axis=1).sum(0)
         assert sizes.tolist() == [125] * 8
