@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import ROW_KEY, WORD, keyed, stash
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 17
-LEAST_BLOCKS, BLOCK_WORDS, LEAST_LEVELS, SHARD_WORDS = 1024, 2_000_000, 4, 64_000_000
+LEAST_BLOCKS, BLOCK_WORDS, LEAST_LEVELS, SHARD_WORDS = 1024, 2_000_000, 4, 16_000_000
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
@@ -176,8 +176,8 @@ def _copies(docs: DataFrame, **how) -> DataFrame:
 
 
 def _shuffled(rows: DataFrame) -> DataFrame:
-    """Rows by shard, each shard in the order of its places."""
-    return rows.repartition("__shard").sortWithinPartitions("__shard", "__place")
+    """Rows by shard, each shard in the order of its places, a sixteenth of them together."""
+    return rows.repartition("__shard", F.shiftright("__place", 60)).sortWithinPartitions("__shard", "__place")
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
