@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import html_training
 from .common import by_rows, ship
-from .html_blocks import Block, blocks, names
+from .html_blocks import Block, Node, blocks, names
 
 TRAIN_PAGES, SEED, STEPS, RATE, PENALTY = 800, 23, 300, 0.1, 0.2
 _FURNITURE = re.compile(r"©|\b(?:cookies?|copyright|subscribe|newsletter|log ?in|sign ?up|share|comments?|advertisement|privacy)\b", re.I)
@@ -31,14 +31,16 @@ _FURNITURE = re.compile(r"©|\b(?:cookies?|copyright|subscribe|newsletter|log ?i
 _SECTIONS = frozenset("article main aside nav header footer form section div figure".split())
 
 
-def path_features(path: tuple[tuple[str, str], ...]) -> list[str]:
+def own_features(node: Node | None, near: Node | None) -> list[str]:
+    """What the innermost element around a block, and the innermost section around it, say."""
+    tag = node.tag if node and node.tag not in ("html", "body") else "body"
+    return sorted({f"tag:{tag}", f"near:{near.tag if near else 'body'}", *(f"near:{w}" for w in (names(near.attributes) if near else ()))})
+
+
+def path_features(node: Node | None) -> list[str]:
     """What a block's ancestors say, whatever its text."""
-    tags = [t for t, _ in path if t not in ("html", "body")]
-    out = {f"in:{t}" for t in tags} | {f"word:{w}" for t, a in path if a for w in names(a) if t != "html"}
-    out.add(f"tag:{tags[-1] if tags else 'body'}")
-    near = next(((t, a) for t, a in reversed(path) if t in _SECTIONS), ("body", ""))
-    out |= {f"near:{near[0]}"} | {f"near:{w}" for w in names(near[1])}
-    return sorted(out)
+    near = next((n for n in node.up() if n.tag in _SECTIONS), None) if node else None
+    return sorted({*own_features(node, near), *(f for n in (node.up() if node else ()) for f in n.new)})
 
 
 def text_features(block: Block) -> list[str]:
@@ -46,8 +48,8 @@ def text_features(block: Block) -> list[str]:
     out = [f"length:{min(6, n.bit_length() // 2)}", f"links:{0 if share == 0 else 1 if share < 0.4 else 2 if share < 0.9 else 3}"]
     if block.text[-1] in ".!?…。！？\"'»”":
         out.append("ends")
-    if _FURNITURE.search(block.text[:200]):
-        out.append("furniture")
+    if hits := len(_FURNITURE.findall(block.text)):
+        out.append("furniture" if 30 * hits > block.text.count(" ") else "furniture seldom")
     return out
 
 
@@ -60,17 +62,27 @@ class Field:
 
     def __init__(self, weights: dict[str, float], step: np.ndarray):
         self.weights, self.step = weights, step
-        self.of_path: dict[tuple, float] = {}
 
     def __reduce__(self):
         return Field, (self.weights, self.step)
 
+    def of_path(self, node: Node | None) -> float:
+        """The score of path_features; an element adds to its parent's what is new in it."""
+        todo = []
+        for n in node.up() if node else ():
+            todo.append(n)
+            if n.value and n.value[0] is self.weights:
+                break
+        above, near = 0.0, None
+        for n in reversed(todo):
+            if not (n.value and n.value[0] is self.weights):
+                new = above + sum(self.weights.get(f, 0.0) for f in n.new)
+                n.value = self.weights, new, n if n.tag in _SECTIONS else near
+            _, above, near = n.value
+        return above + sum(self.weights.get(f, 0.0) for f in own_features(node, near))
+
     def score(self, block: Block, i: int, n: int) -> float:
-        if (known := self.of_path.get(block.path)) is None:
-            if len(self.of_path) > 20_000:
-                self.of_path.clear()
-            known = self.of_path[block.path] = sum(self.weights.get(f, 0.0) for f in path_features(block.path)) + self.weights["bias"]
-        return known + sum(self.weights.get(f, 0.0) for f in text_features(block)) + sum(self.weights.get(f, 0.0) for f in edge_features(i, n))
+        return self.of_path(block.node) + self.weights["bias"] + sum(self.weights.get(f, 0.0) for f in text_features(block)) + sum(self.weights.get(f, 0.0) for f in edge_features(i, n))
 
     def labels(self, found: list[Block]) -> list[int]:
         """The best sequence of labels; of equal ones that with 0 as late as possible."""
@@ -105,7 +117,7 @@ def fit(pages: list[tuple[str, list[int]]]) -> Field:
         length.append(len(found))
         truth += label
         for i, b in enumerate(found):
-            features = {"bias", *path_features(b.path), *text_features(b), *edge_features(i, len(found))}
+            features = {"bias", *path_features(b.node), *text_features(b), *edge_features(i, len(found))}
             at.append([index.setdefault(f, len(index)) for f in sorted(features)])
     rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
     cols = np.array([c for a in at for c in a])
@@ -154,7 +166,7 @@ def field() -> Field:
 
 
 def extract(pages: DataFrame, model: Field | None = None, html_col: str = "html") -> DataFrame:
-    """pages without html_col, with text and n_chars (code points) as last columns."""
+    """pages without html_col, with text and n_chars (code points) as last columns, in place of columns of these names."""
     ship(pages.sparkSession)
     model = model or field()
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]

@@ -38,7 +38,8 @@ class Maker:
         if self.r.random() < 0.2:
             out.insert(0, f"<b>{self.words(1, 3)}</b>")
         if self.r.random() < 0.1:
-            out.append("&amp; " + self.words(1, 2) + self.r.choice([" ###", " ***", " | x", "&quot;"]))
+            sign = self.r.choice(["&amp;", "&quot;", "&#8212;", "&nbsp;", "*", "#", "|", "~", "/"])
+            out.append(f"{sign} {self.words(1, 2)} {sign * self.r.randint(0, 3)}".strip())
         return " ".join(out)
 
     def box(self, tags: list[str], classes: list[str], inner: str) -> str:
@@ -125,11 +126,15 @@ class Maker:
         r = self.r
         frame, main = self.article()
         before, after = self.before(), self.after()
+        if r.random() < 0.15:  # a page of nothing but its main part, or with one side only
+            before, after = r.choice([([], []), ([], after), (before, [])])
         label = [y for x, y in [*((x, 0) for x in before), *main, *((x, 0) for x in after)] for _ in blocks(x)]
         inner = "\n".join([*before, frame.replace("{}", "\n".join(x for x, _ in main)), *after])
         if r.random() < 0.5:
             inner = f'<div class="{r.choice(_NOISE)}">{inner}</div>'
-        head = f"<head><meta charset=utf-8><title>{self.words(2, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
+        extra = [f"<style>{self.word()}{{color:red}} .{self.word()}>p{{width:{r.randint(1, 99)}%}}</style>", f'<script src="/{self.word()}.js"></script>', f"<script>if (a < b) document.write('<p>{self.word()}<\\/p>')</script>"]
+        extra += [f'<link rel=stylesheet href="{self.word()}.css">', f'<meta name=description content="{self.words(3, 9)}">', f"<!-- {self.words(1, 5)} -->", f"<noscript><p>{self.words(3, 6)}</p></noscript>"]
+        head = f"<head><meta charset=utf-8><title>{self.words(2, 6)}</title>{''.join(r.sample(extra, r.randint(0, 4)))}</head>"
         return f"<!DOCTYPE html><html>{head}<body>{inner}" + "</body></html>" * (r.random() < 0.9), label
 
 

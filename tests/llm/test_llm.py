@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -297,6 +298,64 @@ def test_html(spark, sf):
     assert [b.text for b in html_blocks.blocks(raw)] == ["a", "b", "e"]
 
 
+class Article(HTMLParser):
+    """The text of the article element by Python's own parser, without the parts that aren't the article's."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.skip, self.out = [], 0, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_blocks.VOID:
+            self.out.append(" " if tag == "br" else "")
+            return
+        foreign = tag in ("script", "style", "aside", "nav", "form", "footer", "header", "section") or any(w in (v or "") for k, v in attrs if k in ("class", "id") for w in ("ad", "share", "comment", "cookie", "notice") if "article" in self.depth)
+        self.depth.append(tag)
+        self.skip += foreign and "article" in self.depth or self.skip > 0
+        if tag not in html_blocks.INLINE:
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.depth:
+            while self.depth.pop() != tag:
+                self.skip -= self.skip > 0
+            self.skip -= self.skip > 0
+            if tag not in html_blocks.INLINE:
+                self.out.append(" ")
+
+    def handle_data(self, data):
+        if "article" in self.depth and not self.skip:
+            self.out.append(data)
+
+
+def test_html_against_the_article_element(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").filter("html like '%<article%'")
+    got = {g.page_id: g.text for g in html_extract.extract(pages).select("page_id", "text").collect()}
+    same = []
+    for page in pages.collect():
+        parser = Article()
+        parser.feed(page.html)
+        same.append(" ".join("".join(parser.out).split()) == got[page.page_id])
+    print(f"{sum(same)} of {len(same)} pages as their article element")
+    assert len(same) > 100 and np.mean(same) > 0.95
+
+
+def test_html_of_any_depth():
+    import resource
+    import time
+
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    for page in ("<div class=content>x " * 100_000, "<ul><li>y " * 50_000, "</b></td>z <p>" * 100_000, "<table><tr><td>q" * 30_000, "<a>" * 100_000):
+        html_extract.field().extract(page)
+    assert time.perf_counter() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+    long = "<article><p>" + "One sentence of the article. " * 40 + "We use cookies.</article>"
+    assert html_extract.field().extract(long).endswith("We use cookies.")
+    for page, _ in html_training.pages(30, 9):
+        for block in html_blocks.blocks(page):
+            field = html_extract.field()
+            assert abs(field.of_path(block.node) - sum(field.weights.get(f, 0.0) for f in html_extract.path_features(block.node))) < 1e-9
+
+
 def test_viterbi_against_all_labellings():
     from itertools import product
 
