@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,15 +49,18 @@ def functions_with_parameters(symbols: DataFrame) -> DataFrame:
 
 def greedy_cursor(slots: list[str], predicted: list[str]) -> list[int]:
     """For each slot the number of the next prediction of its name behind the cursor, which moves there; -1, and no move, if none."""
+    places: dict[str, list[int]] = {}
+    for k, name in enumerate(predicted):
+        places.setdefault(name, []).append(k)
     out, cursor = [], 0
     for name in slots:
-        try:
-            at = predicted.index(name, cursor)
-        except ValueError:
+        own = places.get(name, ())
+        at = bisect_left(own, cursor)
+        if at == len(own):
             out.append(-1)
             continue
-        out.append(at)
-        cursor = at + 1
+        out.append(own[at])
+        cursor = own[at] + 1
     return out
 
 

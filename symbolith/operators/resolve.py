@@ -23,8 +23,11 @@ def _rank(order: tuple[str, ...]) -> Column:
 
 def delegation(predictions: DataFrame, *ties, order: tuple[str, ...] = DEFAULT_ORDER, keys: list[str] = SELECT_KEY, methods: Column | None = None) -> DataFrame:
     """Per symbol the annotation of the first agent in order that has one; symbols with nulls only stay, unresolved, with
-    the agents joined by + as their method. One shuffle."""
-    agents = F.lit("+".join(order)) if methods is None else methods
+    the agents that have any row joined by + as their method: one name each, which the driver asks for. One shuffle."""
+    if methods is None:
+        there = {r["agent"] for r in predictions.filter(F.col("agent").isin(*order)).select("agent").distinct().collect()}
+        methods = F.lit("+".join(a for a in order if a in there))
+    agents = methods
     w = Window.partitionBy(*keys).orderBy(F.col("anno").isNull(), _rank(order), *ties)
     best = predictions.filter(F.col("agent").isin(*order)).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
     return best.withColumn("method", F.when(F.col("anno").isNull(), agents).otherwise(F.col("agent"))).select(*keys, "anno", "method")
@@ -57,14 +60,17 @@ def closure(spark, edges: dict[str, list[str]]) -> dict[str, list[str]]:
 
 
 def subtype_closure(edges: DataFrame) -> DataFrame:
-    """The reflexive and transitive closure of edges (type, parent) as (derived, base, distance), by a recursive query."""
-    edges.createOrReplaceTempView("symbolith_edges")
-    return edges.sparkSession.sql("""
+    """The reflexive and transitive closure of edges (type, parent) as (derived, base, distance), by a recursive query. A cycle
+    is an error: the recursion passes its limit of levels."""
+    return edges.sparkSession.sql(
+        """
       WITH RECURSIVE up(derived, base, distance) AS (
-        SELECT t, t, 0 FROM (SELECT type AS t FROM symbolith_edges UNION SELECT parent FROM symbolith_edges)
+        SELECT t, t, 0 FROM (SELECT type AS t FROM {edges} UNION SELECT parent FROM {edges})
         UNION ALL
-        SELECT up.derived, e.parent, up.distance + 1 FROM up JOIN symbolith_edges e ON e.type = up.base)
-      SELECT derived, base, min(distance) AS distance FROM up GROUP BY derived, base""")
+        SELECT up.derived, e.parent, up.distance + 1 FROM up JOIN {edges} e ON e.type = up.base)
+      SELECT derived, base, min(distance) AS distance FROM up GROUP BY derived, base""",
+        edges=edges,
+    )
 
 
 def _sign(x: str) -> str:

@@ -5,17 +5,20 @@ from __future__ import annotations
 
 import ast
 import difflib
-import io
-import tokenize
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..sources.scans import with_stubs
 from .extract import Module
 from .select import first_per
 
-FUTURE = "from __future__ import annotations\n"
+FUTURE = "from __future__ import annotations"
+_COLON = re.compile(rb"#[^\r\n]*|:")
+#: A dotted name that isn't part of a longer one, nor of a string.
+_DOTTED = re.compile(r"""'[^']*'|"[^"]*"|(?<![\w.])((?:[^\W\d]\w*\.)+)[^\W\d]\w*""")
 
 
 class Text:
@@ -41,10 +44,11 @@ class Text:
         self.edits.append((a, b, text.encode()))
 
     def done(self) -> str:
-        out = self.raw
-        for a, b, text in sorted(self.edits, key=lambda e: (e[0], e[1]), reverse=True):
-            out = out[:a] + text + out[b:]
-        return out.decode()
+        out, done = [], 0
+        for a, b, text in sorted(self.edits, key=lambda e: (e[0], e[1])):
+            out += [self.raw[done:a], text]
+            done = b
+        return b"".join([*out, self.raw[done:]]).decode()
 
 
 def strip(code: str, variables: bool = True, parameters: bool = True, returns: bool = True) -> str:
@@ -84,42 +88,55 @@ def strip(code: str, variables: bool = True, parameters: bool = True, returns: b
     return text.done()
 
 
-def _colon(text: Text, code: str, node) -> int:
-    """Where the colon of a def stands."""
-    depth, first = 0, node.lineno
-    lines = code.splitlines(keepends=True)[first - 1 :]
-    started = False
-    for t in tokenize.generate_tokens(io.StringIO("".join(lines)).readline):
-        if t.type != tokenize.OP:
-            started = started or t.string == "def"
-            continue
-        depth += (t.string in "([{") - (t.string in ")]}")
-        if t.string == ":" and depth == 0 and started:
-            line = lines[t.start[0] - 1]
-            return text.at(first + t.start[0] - 1, len(line[: t.start[1]].encode()))
+def _colon(text: Text, node) -> int:
+    """Where the colon of a def stands: the first behind its type parameters and arguments that isn't in a comment."""
+    a = node.args
+    last = [*getattr(node, "type_params", []), *a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg, *a.defaults, *a.kw_defaults))]
+    at = max(map(text.end, last), default=text.start(node))
+    for m in _COLON.finditer(text.raw, at):
+        if m[0] == b":":
+            return m.start()
     raise ValueError("a def without a colon")
 
 
+def parameters(node) -> tuple[str, ...]:
+    """A function's signature: its parameters' names, those of stars with their stars."""
+    a = node.args
+    return (*(p.arg for p in (*a.posonlyargs, *a.args, *a.kwonlyargs)), *(f"*{p.arg}" for p in [a.vararg] if p), *(f"**{p.arg}" for p in [a.kwarg] if p))
+
+
 class Applier(Module):
-    """Writes annotations where there are none. annos: (category, qname_ssa) -> annotation."""
+    """Writes annotations where there are none, or, to overwrite, in place of those there are. annos: (category, qname_ssa) ->
+    annotation, or (category, qname_ssa, signature of the function) -> annotation, which is for that signature only."""
 
-    def __init__(self, code: str, file: str, annos: dict[tuple[str, str], str]):
-        self.code, self.text, self.annos = code, Text(code), annos
+    def __init__(self, code: str, file: str, annos: dict[tuple, str], overwrite: bool = False):
+        self.text, self.annos, self.overwrite = Text(code), annos, overwrite
         self.count: dict[str, int] = {}
         self.current: ast.stmt | None = None
+        self.written: list[str] = []
         super().__init__(code, file)
 
-    def found(self, category: str, qname: str) -> str | None:
-        anno = self.annos.get((category, qname))
+    def found(self, category: str, qname: str, *signature) -> str | None:
+        anno = self.annos.get((category, qname, *signature)) or self.annos.get((category, qname))
         return anno.removeprefix("builtins.") if anno else None
 
+    def write(self, a: int, b: int, anno: str, form: str) -> None:
+        self.written.append(anno)
+        self.text.edit(a, b, form.format(anno))
+
+    def annotated(self, old: ast.expr | None, at: int, anno: str | None, form: str) -> None:
+        """Write anno at `at`, or over an old one."""
+        if anno and old is None:
+            self.write(at, at, anno, form)
+        elif anno and self.overwrite:
+            self.write(self.text.start(old), self.text.end(old), anno, "{}")
+
     def function(self, node) -> None:
-        a, name = node.args, self.qname(node.name)
-        if node.returns is None and (anno := self.found("CALLABLE_RETURN", name)):
-            self.text.edit(*[_colon(self.text, self.code, node)] * 2, f" -> {anno}")
+        a, name, own = node.args, self.qname(node.name), parameters(node)
+        if anno := self.found("CALLABLE_RETURN", name, own):
+            self.annotated(node.returns, _colon(self.text, node) if node.returns is None else 0, anno, " -> {}")
         for p in [*a.posonlyargs, *a.args, *a.kwonlyargs]:
-            if p.annotation is None and (anno := self.found("CALLABLE_PARAMETER", f"{name}.{p.arg}")):
-                self.text.edit(*[self.text.end(p)] * 2, f": {anno}")
+            self.annotated(p.annotation, self.text.end(p), self.found("CALLABLE_PARAMETER", f"{name}.{p.arg}", own), ": {}")
         super().function(node)
 
     def statement(self, s: ast.stmt) -> None:
@@ -132,28 +149,114 @@ class Applier(Module):
         key = self.qname(name)
         self.count[key] = self.count.get(key, 0) + 1
         new, s = self.found("VARIABLE", f"{key}λ{self.count[key]}"), self.current
-        if not new or isinstance(s, ast.AnnAssign) or inferred is not None:
+        if not new:
+            return
+        if isinstance(s, ast.AnnAssign):
+            self.annotated(s.annotation, 0, new, "{}")
+        elif inferred is not None:
             return
-        if isinstance(s, ast.Assign) and len(s.targets) == 1 and not isinstance(s.targets[0], (ast.Tuple, ast.List)):
-            self.text.edit(*[self.text.end(s.targets[0])] * 2, f": {new}")
+        elif isinstance(s, ast.Assign) and len(s.targets) == 1 and not isinstance(s.targets[0], (ast.Tuple, ast.List)):
+            self.write(*[self.text.end(s.targets[0])] * 2, new, ": {}")
         else:
             start = self.text.start(s)
-            indent = self.text.raw[self.text.lines[s.lineno - 1] : start].decode()
-            simple = isinstance(s, (ast.Assign, ast.AugAssign))
-            self.text.edit(start, start, f"{name}: {new}; " if simple else f"{name}: {new}\n{indent}")
-
-
-def apply(code: str, annos: dict[tuple[str, str], str], file: str = "x.py") -> str:
-    """code with annotations for symbols that have none; postponed evaluation is switched on where anything is written."""
-    work = Applier(code, file, annos)
+            before = self.text.raw[self.text.lines[s.lineno - 1] : start].decode()
+            simple = isinstance(s, (ast.Assign, ast.AugAssign)) or before.strip()  # no line can be put before the latter
+            if before.strip() and not isinstance(s, (ast.Assign, ast.AugAssign)):
+                return
+            self.write(start, start, new, name + ": {}; " if simple else name + ": {}\n" + before)
+
+
+def _modules(annos: list[str], tree: ast.Module) -> list[str]:
+    """Modules that dotted names of annos want and tree doesn't bind at its top."""
+    bound: set[str] = set()
+    opened: set[str] = set()  # packages of which other modules can be imported beside
+    for s in tree.body:
+        if isinstance(s, ast.Import):
+            bound |= {part for a in s.names for part in ([a.asname] if a.asname else _prefixes(a.name))}
+            opened |= {_prefixes(a.name)[0] for a in s.names if not a.asname}
+        elif isinstance(s, ast.ImportFrom):
+            bound |= {a.asname or a.name for a in s.names}
+        elif isinstance(s, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
+            bound.add(s.name)
+        elif isinstance(s, (ast.Assign, ast.AnnAssign)):
+            bound |= {t.id for t in (s.targets if isinstance(s, ast.Assign) else [s.target]) if isinstance(t, ast.Name)}
+    wanted = {m[1][:-1] for a in annos for m in _DOTTED.finditer(a) if m[1]}
+    return sorted(w for w in wanted if w not in bound and not (_prefixes(w)[0] in bound and _prefixes(w)[0] not in opened))
+
+
+def _prefixes(dotted: str) -> list[str]:
+    """a, a.b, a.b.c of a.b.c."""
+    parts = dotted.split(".")
+    return [".".join(parts[:k]) for k in range(1, len(parts) + 1)]
+
+
+def apply(code: str, annos: dict[tuple, str], file: str = "x.py", overwrite: bool = False, imports: bool = True, extra: tuple[str, ...] = ()) -> str:
+    """code with annotations for symbols that have none, or for all. Where anything is written postponed evaluation is switched on,
+    and modules of dotted names are imported, with `extra` lines behind. What doesn't compile is an error, never returned."""
+    work = Applier(code, file, annos, overwrite)
     if not work.text.edits:
         return code
-    tree = ast.parse(code)
-    if not any(isinstance(s, ast.ImportFrom) and s.module == "__future__" and any(a.name == "annotations" for a in s.names) for s in tree.body):
-        head = [s for s in tree.body[:1] if isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str)]
-        at = work.text.lines[head[0].end_lineno] if head else 0
-        work.text.edit(at, at, FUTURE)
-    return work.text.done()
+    tree, text = ast.parse(code), work.text
+    lines = [] if any(isinstance(s, ast.ImportFrom) and s.module == "__future__" and any(a.name == "annotations" for a in s.names) for s in tree.body) else [FUTURE]
+    later = [*(f"import {m}" for m in _modules(work.written, tree) if imports), *extra]
+    place = [s for s in tree.body[:1] if isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str)]
+    there = [s for s in tree.body if isinstance(s, ast.ImportFrom) and s.module == "__future__"][-1:]
+    heads = [_insertion(text, tree, behind, new) for behind, new in ((place, lines), (there or place, later)) if new]
+    text.edits = heads + text.edits  # of edits at one place the first comes first
+    out = text.done()
+    compile(out, file, "exec", dont_inherit=True)
+    return out
+
+
+def _insertion(text: Text, tree: ast.Module, behind: list[ast.stmt], new: list[str]) -> tuple[int, int, bytes]:
+    """The edit that puts statements in front of all, or behind one of the top."""
+    first = next((s for s in tree.body if not behind or text.start(s) > text.start(behind[0])), None)
+    if first is not None and behind and first.lineno == behind[0].end_lineno:  # on one line
+        return (text.start(first),) * 2 + ("".join(f"{x}; " for x in new).encode(),)
+    if behind:
+        at = text.lines[behind[0].end_lineno]
+    else:
+        at = text.lines[min([first.lineno, *(d.lineno for d in getattr(first, "decorator_list", []))]) - 1] if first else 0
+    gap = "\n" if behind and not text.raw[:at].endswith((b"\n", b"\r")) else ""
+    return at, at, (gap + "".join(f"{x}\n" for x in new)).encode()
+
+
+def stub_annotations(stub: str) -> tuple[dict[tuple, str], list[tuple[str, str]]]:
+    """What a stub declares, as annos of Applier that hold for functions of the same signature, and its imports as (name, line)."""
+    annos: dict[tuple, str] = {}
+    imports: list[tuple[str, str]] = []
+
+    def walk(body: list[ast.stmt], scope: str) -> None:
+        for s in body:
+            if isinstance(s, ast.ClassDef):
+                walk(s.body, f"{scope}{s.name}.")
+            elif isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                name, own = scope + s.name, parameters(s)
+                if s.returns:
+                    annos.setdefault(("CALLABLE_RETURN", name, own), ast.unparse(s.returns))
+                for p in (*s.args.posonlyargs, *s.args.args, *s.args.kwonlyargs):
+                    if p.annotation:
+                        annos.setdefault(("CALLABLE_PARAMETER", f"{name}.{p.arg}", own), ast.unparse(p.annotation))
+            elif isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name):
+                annos.setdefault(("VARIABLE", f"{scope}{s.target.id}λ1"), ast.unparse(s.annotation))
+            elif isinstance(s, ast.Import):
+                imports.extend((a.asname or a.name.split(".")[0], f"import {a.name}" + (f" as {a.asname}" if a.asname else "")) for a in s.names)
+            elif isinstance(s, ast.ImportFrom) and s.module != "__future__":
+                source = "." * s.level + (s.module or "")
+                imports.extend((a.asname or a.name, f"from {source} import {a.name}" + (f" as {a.asname}" if a.asname else "")) for a in s.names if a.name != "*")
+
+    walk(ast.parse(stub).body, "")
+    return annos, imports
+
+
+def apply_stub(code: str, stub: str, file: str = "x.py", overwrite: bool = True) -> str:
+    """code with what its stub declares of functions of the same name and signature, and of variables; names that this needs are imported as in the stub."""
+    annos, imports = stub_annotations(stub)
+    work = Applier(code, file, annos, overwrite)
+    used = {n.id for a in work.written for n in ast.walk(ast.parse(a, mode="eval")) if isinstance(n, ast.Name)}
+    bound = {a.asname or a.name.split(".")[0] for s in ast.parse(code).body if isinstance(s, (ast.Import, ast.ImportFrom)) for a in s.names}
+    extra = tuple(dict.fromkeys(line for name, line in imports if name in used - bound))
+    return apply(code, annos, file, overwrite, imports=False, extra=extra)
 
 
 def diff(left: str, right: str, name: str = "x.py") -> str:
@@ -186,12 +289,18 @@ def strip_sources(sources: DataFrame, **kinds: bool) -> DataFrame:
     return _rewritten(sources, lambda file, code: strip(code or "", **kinds), "code")
 
 
-def apply_predictions(sources: DataFrame, best: DataFrame) -> DataFrame:
+def apply_stubs(sources: DataFrame, stubs: DataFrame) -> DataFrame:
+    """sources merged with the stub (file, code) beside each; a file without one stays as it is."""
+    known = with_stubs(sources.select("file", "code"), stubs)
+    return _rewritten(known, lambda file, code, stub: apply_stub(code or "", stub, file) if stub else code or "", "code", "stub")
+
+
+def apply_predictions(sources: DataFrame, best: DataFrame, overwrite: bool = False, imports: bool = True) -> DataFrame:
     """sources with the annotations of best: file, category, qname_ssa, anno, of each symbol the first."""
     one = first_per(best.filter("anno is not null"), ["file", "category", "qname_ssa"], "anno")
     lists = one.groupBy("file").agg(F.collect_list(F.struct("category", "qname_ssa", "anno")).alias("annos"))
     known = sources.select("file", "code").join(lists, "file", "left")
-    return _rewritten(known, lambda file, code, annos: apply(code or "", {(a["category"], a["qname_ssa"]): a["anno"] for a in annos or []}, file), "code", "annos")
+    return _rewritten(known, lambda file, code, annos: apply(code or "", {(a["category"], a["qname_ssa"]): a["anno"] for a in annos or []}, file, overwrite, imports), "code", "annos")
 
 
 def source_diff(left: DataFrame, right: DataFrame) -> DataFrame:

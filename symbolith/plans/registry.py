@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import align, compare, numbering, resolve, select
+from ..operators import align, compare, documents, numbering, resolve, select
 from ..session import table
 from .views import AGENTS, BASE, PRED, TOP, agents, base, pred
 
@@ -165,12 +165,15 @@ def q19_functions_with_parameters(spark, d):
     return align.functions_with_parameters(rows)
 
 
-@query("SELECT page_id, split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS author, split_part(regexp_replace(url, '^https?://', ''), '/', 2) AS project, split_part(regexp_replace(url, '^https?://', ''), '/', 3) AS file FROM pages")
+@query("""WITH p AS (SELECT split_part(u, '/', 1) AS author, split_part(u, '/', 2) AS project, regexp_replace(regexp_replace(u, '^[^/]*/', ''), '^[^/]*/', '') AS file FROM
+(SELECT regexp_replace(url, '^https?://', '') AS u, page_id FROM pages) WHERE page_id % 3 <> 0)
+SELECT author, project, string_agg(DISTINCT file, ';' ORDER BY file) AS files FROM p GROUP BY 1, 2""")
 def q20_split_paths(spark, d):
-    from ..sources.scans import split_path
+    from ..sources.scans import split_rows
 
-    path = F.regexp_replace("url", "^https?://", "")
-    return table(spark, d, "pages").select("page_id", *split_path(path, F.lit("")))
+    path = F.concat(F.lit('"'), F.when(F.col("page_id") % 2 == 0, "repos/").otherwise(""), F.regexp_replace("url", "^https?://", ""), F.lit('"'))
+    rows = table(spark, d, "pages").select(F.when(F.col("page_id") % 3 == 0, "train").otherwise("test").alias("split"), path.alias("filepath"))
+    return split_rows(rows).select("author", "project", F.array_join("files", ";").alias("files"))
 
 
 _DELEGATION = f"""WITH {AGENTS} SELECT k, anno, CASE WHEN anno IS NULL THEN '{{all}}' ELSE agent END AS method FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY anno IS NULL,
@@ -205,16 +208,36 @@ def _voted(rule):
     return run
 
 
-#: Majority: a type wins if most of the three agents support it; ties of support are joined in order of first prediction.
-_MAJORITY = f"""WITH {AGENTS}, t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY topn, p, s) AS n FROM agents WHERE anno IS NOT NULL),
+#: Labels by each rule, of pro, con and direct support.
+_LABELS = {
+    "SF": "CASE WHEN {pro} <> {con} THEN sign({pro} - {con}) ELSE sign({direct}) END",
+    "OF": "CASE WHEN {direct} <> 0 THEN sign({direct}) ELSE sign({pro} - {con}) END",
+    "Majority": "sign({direct})",
+    "CF": "sign(sign({direct}) + sign({pro} - {con}))",
+}
+
+
+def _voting_sql(rule: str) -> str:
+    """Two levels, unrolled: bool is below int, other types are below none. a: the label of a type by itself; l: of a type o while t is
+    the target, when bool defends int; c: of the target, which types below it defend and others attack."""
+    label = lambda pro, con, direct: _LABELS[rule].format(pro=pro, con=con, direct=direct)
+    return f"""WITH {AGENTS}, t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY topn, p, s) AS n FROM agents WHERE anno IS NOT NULL),
 up AS (SELECT k, agent, anno AS base FROM t UNION SELECT k, agent, 'int' FROM t WHERE anno = 'bool'),
 s AS (SELECT t.k, t.anno, min(t.n) AS n, (SELECT count(DISTINCT agent) FROM up WHERE up.k = t.k AND up.base = t.anno) AS ins FROM t GROUP BY t.k, t.anno),
-w AS (SELECT * FROM (SELECT *, max(ins) OVER (PARTITION BY k) AS most FROM s WHERE 2 * ins > 3) WHERE ins = most),
+a AS (SELECT *, {label("0", "0", "(2 * ins - 3)")} AS alone FROM s),
+l AS (SELECT t.k, t.anno AS target, o.anno, CASE WHEN o.anno = 'int' AND b.k IS NOT NULL AND t.anno NOT IN ('int', 'bool')
+  THEN {label("(b.alone = 1)::int", "(b.alone = -1)::int", "(2 * o.ins - 3)")} ELSE o.alone END AS label, t.anno = 'int' AND o.anno = 'bool' AS below
+  FROM a t JOIN a o ON t.k = o.k AND t.anno <> o.anno LEFT JOIN a b ON b.k = t.k AND b.anno = 'bool'),
+g AS (SELECT k, target, count(*) FILTER (label = CASE WHEN below THEN 1 ELSE -1 END) AS pro, count(*) FILTER (label = CASE WHEN below THEN -1 ELSE 1 END) AS con FROM l GROUP BY 1, 2),
+c AS (SELECT a.*, {label("coalesce(g.pro, 0)", "coalesce(g.con, 0)", "(2 * a.ins - 3)")} AS label FROM a LEFT JOIN g ON g.k = a.k AND g.target = a.anno),
+w AS (SELECT * FROM (SELECT *, max(ins) OVER (PARTITION BY k) AS most FROM c WHERE label = 1) WHERE ins = most),
 v AS (SELECT k, string_agg(anno, ' | ' ORDER BY n) AS anno FROM w GROUP BY k),
 m AS (SELECT t.k, string_agg(DISTINCT agent, '+' ORDER BY agent) AS method FROM t LEFT JOIN v ON v.k = t.k WHERE v.k IS NULL OR EXISTS (SELECT 1 FROM w WHERE w.k = t.k AND w.anno = t.anno) GROUP BY t.k)
 SELECT m.k, v.anno, m.method, 1 AS topn FROM m LEFT JOIN v ON v.k = m.k"""
+
+
 for _rule in resolve.RULES:
-    query(_MAJORITY if _rule == "Majority" else None)(_voted(_rule))
+    query(_voting_sql(_rule))(_voted(_rule))
 
 
 @query("SELECT page_id, CASE WHEN contains(url, '.') THEN regexp_extract(url, '^(.*)\\.([^.]*)$', 1) ELSE '' END AS function, CASE WHEN contains(url, '.') THEN regexp_extract(url, '^(.*)\\.([^.]*)$', 2) ELSE '' END AS arg FROM pages")
@@ -247,9 +270,46 @@ def q30_builtin_flag(spark, d):
     return agents(spark, d).select("k", "p", "s", "topn", S.is_builtin(F.col("anno")).alias("builtin"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+_SCOPES = """s AS (SELECT 'c' || cast(conv_id AS varchar) || '.py' AS file, role AS scope, CASE turn % 3 WHEN 0 THEN 'arg' WHEN 1 THEN 'return' ELSE 'local' END AS category, 'n' || cast(turn AS varchar) AS name, turn FROM conversations)"""
+
+
+def _scope_rows(spark, d):
+    """file, scope, category, name, topn, anno, two ranks a name."""
+    kind = F.when(F.col("turn") % 3 == 0, "arg").when(F.col("turn") % 3 == 1, "return").otherwise("local")
+    types = F.array(F.when(F.col("turn") % 2 == 0, "int").otherwise("str"), F.lit("bytes"))
+    rows = table(spark, d, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".py")).alias("file"), F.col("role").alias("scope"), kind.alias("category"),
+        F.concat(F.lit("n"), F.col("turn").cast("string")).alias("name"), F.posexplode(types).alias("pos", "anno"),
+    )
+    return rows.select("file", "scope", "category", "name", (F.col("pos") + 1).alias("topn"), "anno")
+
+
+@query(f"""WITH {_SCOPES} SELECT file, scope, category, name, t.topn, CASE WHEN t.topn = 2 THEN 'bytes' WHEN turn % 2 = 0 THEN 'int' ELSE 'str' END AS anno FROM s, (SELECT unnest([1, 2]) AS topn) t""")
 def q31_nested_documents(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    whole = documents.nested_documents(_scope_rows(spark, d))  # to documents and back
+    from ..sources.scans import scopes_of
+
+    return scopes_of(whole.select(F.concat(F.lit("{"), F.to_json(F.map_from_arrays(F.array("file"), F.array(F.lit(0)))).substr(F.lit(2), F.length("file") + 3), "document", F.lit("}")).alias("value")))
+
+
+@query(f"""WITH {_SCOPES}, r AS (SELECT file, scope, category AS c, name, t.topn, CASE WHEN t.topn = 2 THEN 'bytes' WHEN turn % 2 = 0 THEN 'int' ELSE 'str' END AS anno FROM s, (SELECT unnest([1, 2]) AS topn) t)
+SELECT file, 'CALLABLE_PARAMETER' AS category, scope || '.' || name AS qname, topn, anno FROM r WHERE c = 'arg' UNION ALL SELECT file, 'CALLABLE_RETURN', scope, topn, anno FROM r WHERE c = 'return'
+UNION ALL SELECT file, 'VARIABLE', scope || '.' || name, topn, anno FROM r WHERE c = 'local' UNION ALL SELECT file, 'VARIABLE', scope || '.self.' || name, topn, anno FROM r WHERE c = 'local'
+UNION ALL SELECT DISTINCT file, 'CALLABLE_PARAMETER', scope || '.self', 1, CAST(NULL AS varchar) FROM r WHERE scope = 'user'""")
+def q45_scope_annotations(spark, d):
+    return documents.scope_annotations(_scope_rows(spark, d).withColumn("method", F.col("scope") == "user"))
+
+
+@query(f"WITH {AGENTS} SELECT k, anno, CASE WHEN anno IS NULL THEN 'static+probabilistic' ELSE agent END AS method FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY anno IS NULL, agent <> 'static', topn, p, s) AS n FROM agents WHERE agent <> 'dynamic') WHERE n = 1")
+def q46_delegation_of_those_present(spark, d):
+    return resolve.delegation(agents(spark, d).filter("agent <> 'dynamic'"), "topn", "p", "s", keys=["k"])
+
+
+@query("""SELECT o_custkey, i AS topn, CASE WHEN i <= n THEN a[i] END AS anno, CASE WHEN i <= n THEN p[i] END AS price FROM (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) AS a, list(o_totalprice ORDER BY o_orderkey) AS p, count(*) AS n FROM orders GROUP BY 1), (SELECT unnest(range(1, 200)) AS i) WHERE i <= n""")
+def q47_batchify(spark, d):
+    item = F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")))
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(item.alias("l")).select("o_custkey", F.col("l.o_orderstatus").alias("anno"), F.col("l.o_totalprice").alias("price"))
+    return documents.batchify(lists, "anno", "price")
 
 
 @query(f"""WITH {BASE}, {PRED}, h AS (SELECT p.method, b.qname_ssa, min(CASE WHEN p.anno = b.anno THEN p.topn END) AS best FROM pred p JOIN base b ON b.file = p.file AND b.category = p.category AND b.qname_ssa = p.qname_ssa WHERE b.anno IS NOT NULL GROUP BY 1, 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import align, extract, predict, rewrite
+from ..operators import align, extract, functions, predict, rewrite
 from ..session import table
 from .registry import query
 
@@ -62,10 +62,11 @@ def q38_declared_predictor(spark, d):
     return predict.factory("declared")(code).predict(rewrite.strip_sources(code))
 
 
-@query("""SELECT cast(conv_id AS varchar) AS file, turn AS ord, role AS name, CASE WHEN turn <= (SELECT max(turn) FROM conversations) THEN role || cast(turn AS varchar) END AS anno FROM conversations""")
+@query("""SELECT cast(conv_id AS varchar) AS file, turn AS ord, role AS name, CASE WHEN role <> 'system' THEN role || cast(turn AS varchar) END AS anno FROM conversations""")
 def q39_cursor_match(spark, d):
     slots = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("ord"), F.col("role").alias("name"))
-    return align.cursor_match(slots, slots.withColumn("anno", F.concat("name", F.col("ord").cast("string"))))
+    # of system there is no prediction: its slots get none and leave the cursor where it is
+    return align.cursor_match(slots, slots.filter("name <> 'system'").withColumn("anno", F.concat("name", F.col("ord").cast("string"))))
 
 
 @query("""WITH n AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)
@@ -75,3 +76,62 @@ def q40_nth_occurrence(spark, d):
     rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("ord"), F.col("role").alias("qname"))
     annos = rows.filter("ord > 1").withColumn("anno", F.concat(F.lit("t"), F.col("ord").cast("string")))
     return align.nth_with_nth(rows, annos).select("file", "ord", "qname", "n", "anno")
+
+
+#: A program with an import, a class, a method, a function inside it, a branch, a with and a tuple; NAME is the customer's number.
+_LARGE = (
+    "import os\nclass CNAME:\n    size = NAME\n    def run(self, path, *rest, deep=False):\n        def inner(x):\n            return x\n        if deep:\n            a, b = inner(1), 2\n"
+    "        with open(path) as f:\n            self.text = f.read()\n        return os.fspath(path)\n"
+)
+_SIZED = _LARGE.replace("size = NAME", "size: int = NAME").replace("inner(x):", "inner(x: amod.TNAME):").replace("deep=False):", "deep: bool=False) -> os.PathLike:").replace("            a, b =", "            a: int; a, b =")
+_STUB = "from typing import Sequence, Mapping\nclass CNAME:\n    size: int\n    def run(self, path: Sequence[str], *rest, deep: bool) -> str: ...\n    def other(self) -> Mapping: ...\n"
+_STUBBED = "from __future__ import annotations\nfrom typing import Sequence\n" + _LARGE.replace("size = NAME", "size: int = NAME").replace("path, *rest, deep=False):", "path: Sequence[str], *rest, deep: bool=False) -> str:")
+
+
+def _filled(text: str):
+    return F.replace(F.lit(text), F.lit("NAME"), F.col("c_custkey").cast("string"))
+
+
+def _filled_sql(text: str) -> str:
+    return "replace('" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "', 'NAME', cast(c_custkey AS varchar))"
+
+
+def _programs(spark, d, text: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("file"), _filled(text).alias("code"))
+
+
+@query(f"SELECT 'c' || cast(c_custkey AS varchar) || '.py' AS file, {_filled_sql('from __future__ import annotations' + chr(10) + 'import amod' + chr(10) + _SIZED)} AS code FROM customer")
+def q41_apply_with_imports(spark, d):
+    code = _programs(spark, d, _LARGE)
+    annos = [("VARIABLE", "CNAME.sizeλ1", "builtins.int"), ("CALLABLE_RETURN", "CNAME.run", "os.PathLike"), ("CALLABLE_PARAMETER", "CNAME.run.deep", "builtins.bool"), ("CALLABLE_PARAMETER", "CNAME.run.inner.x", "amod.TNAME"), ("VARIABLE", "CNAME.run.aλ1", "builtins.int")]
+    one = F.explode(F.array(*(F.struct(F.lit(c).alias("category"), _filled(q).alias("qname_ssa"), _filled(a).alias("anno")) for c, q, a in annos))).alias("a")
+    best = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("file"), one).select("file", "a.*")
+    return rewrite.apply_predictions(code, best).select("file", "code")
+
+
+@query(f"SELECT 'c' || cast(c_custkey AS varchar) || '.py' AS file, {_filled_sql(_STUBBED)} AS code FROM customer")
+def q42_apply_stubs(spark, d):
+    stubs = _programs(spark, d, _STUB).withColumn("file", F.concat("file", F.lit("i")))
+    return rewrite.apply_stubs(_programs(spark, d, _LARGE), stubs).select("file", "code")
+
+
+@query("""SELECT 'c' || cast(c_custkey AS varchar) || '.py' AS file, f.* FROM (SELECT unnest([
+{'cls_name': 'C', 'func_name': 'run', 'arg_names': 'self,path,deep', 'n_types': 0, 'returned': 'os.fspath(path)', 'ord': 0},
+{'cls_name': NULL, 'func_name': 'inner', 'arg_names': 'x', 'n_types': 1, 'returned': 'x', 'ord': 1}]) AS f), customer""")
+def q43_function_frame(spark, d):
+    found = functions.function_frame(_programs(spark, d, _LARGE.replace("inner(x)", "inner(x: int)")))
+    return found.select(
+        "file", F.substring("cls_name", 1, 1).alias("cls_name"), "func_name", F.array_join("arg_names", ",").alias("arg_names"),
+        F.size(F.array_compact("arg_types")).alias("n_types"), F.array_join("return_expr", ",").alias("returned"), "ord",
+    )
+
+
+@query(f"""WITH t AS (SELECT unnest([{{'c': 'VARIABLE', 'q': 'C.size', 'l': 3}}, {{'c': 'CALLABLE_RETURN', 'q': 'C.run', 'l': 4}}, {{'c': 'CALLABLE_PARAMETER', 'q': 'C.run.self', 'l': 4}}, {{'c': 'CALLABLE_PARAMETER', 'q': 'C.run.path', 'l': 4}},
+{{'c': 'CALLABLE_PARAMETER', 'q': 'C.run.rest', 'l': 4}}, {{'c': 'CALLABLE_PARAMETER', 'q': 'C.run.deep', 'l': 4}}, {{'c': 'CALLABLE_RETURN', 'q': 'C.run.inner', 'l': 5}}, {{'c': 'CALLABLE_PARAMETER', 'q': 'C.run.inner.x', 'l': 5}},
+{{'c': 'VARIABLE', 'q': 'C.run.a', 'l': 8}}, {{'c': 'VARIABLE', 'q': 'C.run.b', 'l': 8}}, {{'c': 'VARIABLE', 'q': 'C.run.f', 'l': 9}}, {{'c': 'VARIABLE', 'q': 'C.run.self.text', 'l': 10}}]) AS t)
+SELECT 'c' || cast(c_custkey AS varchar) || '.py' AS file, t.c AS category, replace(t.q, 'C.', 'C' || cast(c_custkey AS varchar) || '.') AS qname, CASE WHEN t.l = 4 AND t.q LIKE '%.rest' THEN 'tuple' END AS anno FROM t, customer""")
+def q44_typed_nodes(spark, d):
+    code = _programs(spark, d, _LARGE)
+    nodes = functions.node_frame(code)
+    types = code.select("file", F.lit(4).cast("long").alias("line"), F.lit(_LARGE.split("\n")[3].index("rest")).cast("long").alias("col"), F.lit("tuple").alias("anno"))
+    return functions.typed_nodes(nodes, types).drop("ord")

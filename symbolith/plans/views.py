@@ -19,9 +19,12 @@ def _key(orderkey: str) -> list:
 
 
 def base(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").filter(F.col("o_orderkey") % 7 != 0)
+    o = table(spark, d, "orders")
     status = F.col("o_orderstatus")
-    return o.select(*_key("o_orderkey"), F.when(status == "F", "A").when(status == "O", "N").alias("anno"), F.col("o_orderkey").alias("ord"))
+    file, category, *names = _key("o_orderkey")
+    other = F.when(F.col("o_orderkey") % 7 == 0, "t").otherwise("")  # every seventh symbol has a name that nothing predicts
+    names = [F.concat(other, n).alias(k) for n, k in zip(names, ("qname", "qname_ssa"), strict=True)]
+    return o.select(file, category, *names, F.when(status == "F", "A").when(status == "O", "N").alias("anno"), F.col("o_orderkey").alias("ord"))
 
 
 def pred(spark: SparkSession, d: str) -> DataFrame:
@@ -47,8 +50,8 @@ _KEY_SQL = """'c' || cast({c} % 50 as varchar) || '.py' AS file,
   CASE {o} % 3 WHEN 0 THEN 'VARIABLE' WHEN 1 THEN 'CALLABLE_RETURN' ELSE 'CALLABLE_PARAMETER' END AS category,
   's' || cast({o} as varchar) AS qname, 's' || cast({o} as varchar) AS qname_ssa"""
 
-BASE = f"""base AS (SELECT {_KEY_SQL.format(c='o_custkey', o='o_orderkey')},
-  CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' END AS anno, o_orderkey AS ord FROM orders WHERE o_orderkey % 7 <> 0)"""
+BASE = f"""base AS (SELECT file, category, other || qname AS qname, other || qname_ssa AS qname_ssa, anno, ord FROM (SELECT {_KEY_SQL.format(c='o_custkey', o='o_orderkey')},
+  CASE WHEN o_orderkey % 7 = 0 THEN 't' ELSE '' END AS other, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' END AS anno, o_orderkey AS ord FROM orders))"""
 PRED = f"""pred AS (SELECT {_KEY_SQL.format(c='o_custkey', o='l_orderkey')},
   CASE WHEN l_discount > 0.02 THEN l_returnflag END AS anno, l_linestatus AS method, l_linenumber AS topn, l_partkey AS p, l_suppkey AS s
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ def layout(path: str) -> str:
 
 def sources(spark: SparkSession, root: str, stubs: bool = False, subset: DataFrame | None = None) -> DataFrame:
     """file (below root), code and error of each Python file below root, or of root itself. A file that isn't UTF-8 has an error
-    and no code. subset: a frame of `file`s, others aren't read on; names without a file are silently left out."""
+    and no code; an empty file has no row. subset: a frame of `file`s, others aren't read on; names without a file are silently left out."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     single = root.endswith((".py", ".pyi"))
     raw = read.load(root) if single else read.option("pathGlobFilter", "*.{py,pyi}" if stubs else "*.py").load(root)
@@ -38,21 +38,26 @@ def sources(spark: SparkSession, root: str, stubs: bool = False, subset: DataFra
     return found.select("file", code.alias("code"), F.when(code.isNull(), "not UTF-8").alias("error"))
 
 
-def split_path(path: Column, prefix: Column | None = None) -> list[Column]:
-    """author, project and file of a path, which is split at its first two slashes after `repos/`."""
-    del prefix
-    parts = F.split(F.regexp_replace(path, "^repos/", ""), "/", 3)
-    return [F.coalesce(F.get(parts, F.lit(k)), F.lit("")).alias(n) if n != "file" else F.coalesce(F.substring_index(F.get(parts, F.lit(k)), "/", 1), F.lit("")).alias(n) for k, n in enumerate(("author", "project", "file"))]
-
-
-def split_file(spark: SparkSession, path: str, split: str = "test") -> DataFrame:
-    """author, project and files (sorted) of one split of a CSV without header: split, quoted path."""
-    rows = spark.read.schema("split string, filepath string").csv(path).filter(F.col("split") == split)
+def split_rows(rows: DataFrame, split: str = "test") -> DataFrame:
+    """author, project and files (sorted) of one split of rows split, filepath (quoted, with or without a leading repos/)."""
+    rows = rows.filter(F.col("split") == split)
     parts = F.split(F.regexp_replace(F.trim(F.col("filepath"), F.lit('"')), "^repos/", ""), "/", 3)
     named = rows.select(*(F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(("author", "project", "file"))))
     return named.groupBy("author", "project").agg(F.array_sort(F.collect_set("file")).alias("files"))
 
 
+def split_file(spark: SparkSession, path: str, split: str = "test") -> DataFrame:
+    """split_rows of a CSV without header."""
+    return split_rows(spark.read.schema("split string, filepath string").csv(path), split)
+
+
+def crawl(spark: SparkSession, root: str) -> DataFrame:
+    """author, project, file, code and error of every Python file below author/project folders; what can't be read has an error and
+    doesn't stop the rest."""
+    parts = F.split("file", "/", 3)
+    return sources(spark, root).filter(F.size(parts) == 3).select(parts[0].alias("author"), parts[1].alias("project"), parts[2].alias("file"), "code", "error")
+
+
 def projects(files: DataFrame) -> DataFrame:
     """author and project of paths author/project/...; authors that begin with a dot are left out."""
     parts = F.split("file", "/", 3)
@@ -94,14 +99,24 @@ def graph_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(F.from_json("value", GRAPH_PREDICTIONS)).alias("p")).select("p.*")
 
 
-def inferred_scopes(spark: SparkSession, path: str) -> DataFrame:
-    """file, scope, category, name, topn and anno of a JSON document file -> scope -> predictions."""
-    text = spark.read.text(path, wholetext=True)
+def scopes_of(text: DataFrame) -> DataFrame:
+    """file, scope, category, name, topn and anno of JSON documents (value): file -> scope -> predictions."""
     files = text.select(F.explode(F.from_json("value", NESTED_PREDICTIONS)).alias("file", "scopes"))
     one = files.select("file", F.explode("scopes").alias("scope", "found")).select("file", "scope", F.explode("found").alias("p"))
     return one.select("file", "scope", "p.category", "p.name", F.posexplode("p.type").alias("pos", "anno")).select("file", "scope", "category", "name", (F.col("pos") + 1).alias("topn"), "anno")
 
 
+def inferred_scopes(spark: SparkSession, path: str) -> DataFrame:
+    return scopes_of(spark.read.text(path, wholetext=True))
+
+
+def type_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """type and rank (from 0, by line) of a list of types, a CSV with a header; some thousand rows, to be broadcast."""
+    rows = spark.read.option("header", "true").csv(path)
+    name = rows.columns[-1]
+    return rows.select(F.col(name).alias("type"), F.monotonically_increasing_id().alias("__n")).withColumn("rank", F.row_number().over(Window.orderBy("__n")) - 1).drop("__n")
+
+
 def with_stubs(code: DataFrame, stubs: DataFrame) -> DataFrame:
     """code with the text of each file's stub, null without one."""
     named = stubs.select(F.regexp_replace("file", r"\.pyi$", ".py").alias("file"), F.col("code").alias("stub"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import CONTEXT, PREDICTIONS, TRAINING
+from ..schemas import ANNOTATED, CONTEXT, PREDICTIONS, TRAINING, assert_schema
 
 
 def prediction_path(root: str, tool: str, removed: list[str], inferred: list[str], project: str) -> str:
@@ -51,6 +51,30 @@ def write_sources(df: DataFrame, root: str) -> None:
     df.select("file", "code").foreachPartition(put)
 
 
+def write_functions(df: DataFrame, path: str, exists: str = "errorifexists") -> None:
+    """A function frame as CSV, lists as JSON; the header stands also over no row."""
+    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    flat = df.select(*(F.to_json(c).alias(c) if c in lists else F.col(c) for c in df.columns))
+    flat.write.mode(exists).option("header", "true").option("nullValue", "").option("escape", '"').csv(path)
+
+
+def write_collection(df: DataFrame, path: str, exists: str = "errorifexists") -> None:
+    """Annotated symbols; read_collection gives back the same rows."""
+    _write(df, path, ANNOTATED, "parquet", exists)
+
+
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    return assert_schema(spark.read.schema(ANNOTATED).parquet(path), ANNOTATED)
+
+
+def updated(collection: DataFrame, *others: DataFrame) -> DataFrame:
+    """The rows of all collections, by name; a collection of another schema is an error."""
+    out = assert_schema(collection, ANNOTATED).select(*ANNOTATED.names)
+    for other in others:
+        out = out.unionByName(assert_schema(other, ANNOTATED).select(*ANNOTATED.names))
+    return out
+
+
 def tallies(df: DataFrame, error: str = "error") -> DataFrame:
     """How many rows came out well and how many with an error."""
     return df.groupBy(F.when(F.col(error).isNull(), "ok").otherwise("failed").alias("status")).count()
