@@ -52,7 +52,7 @@ def free(spark: SparkSession) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables that stash() wrote, once nothing that is still to run reads them."""
+    """Delete tables that stash() wrote, once nothing that is still to run reads them. An empty table may name no file and stays."""
     for table in tables:
         spark = table.sparkSession
         for name in {os.path.dirname(f) for f in table.inputFiles()}:

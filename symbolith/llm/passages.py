@@ -313,6 +313,8 @@ def seed_lists(rows: DataFrame, n_parts: int) -> DataFrame:
 
         def close(key):
             place = np.concatenate(held.pop(key))
+            if not len(place):
+                return
             place = place[np.lexsort((place["at"], place["index"], place["id"], place["seed"]))]
             first = np.r_[True, place["seed"][1:] != place["seed"][:-1]][: len(place)]
             at = np.cumsum(first) - 1

@@ -5,8 +5,9 @@ time is its cost, the share it rejects its selectivity. The cascade asks rules i
 second, and stops at the first that rejects. The verdict is that of all rules together, so the order, which
 depends on measured time, decides only how fast it is found.
 
-The sample is the first SAMPLE rows whose text has at most SAMPLE_CHARS characters; the driver holds no more.
-That order is no matter for results. All rules read the whole text of every document that reaches them.
+The sample is the first SAMPLE rows whose text has at most SAMPLE_CHARS characters; the driver holds no more. It may
+come from one file: it decides only the order, which is no matter for results. All rules read the whole text of every
+document that reaches them. Reports hold the base counts of every document, which the rules among them then use.
 
 Cases: a null or empty text has no words and is rejected for that; n_words 0 makes every ratio rule pass; equal
 rows get equal verdicts; an empty table gives an empty result; other columns don't matter and the filter keeps them.
@@ -155,7 +156,7 @@ def reports(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def report(text):
         d = Document(text)
         base = RULES["few_words"](d) or RULES["repeated_words"](d)
-        return *(getattr(d, k) for k in COUNTS), base, not base and verdict(d, order)
+        return *(getattr(d, k) for k in COUNTS), base, verdict(d, order)
 
     def over(batches):
         import pyarrow as pa

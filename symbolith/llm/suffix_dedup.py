@@ -127,6 +127,8 @@ def anchor_lists(rows: DataFrame, n_parts: int) -> DataFrame:
             anchors, texts = zip(*held.pop(key), strict=True)
             own = np.repeat(np.arange(len(texts), dtype=np.uint16), [len(a) for a in anchors])
             h = np.concatenate(anchors)
+            if not len(h):
+                return
             order = np.argsort(h, kind="stable")
             h, own = h[order], own[order]
             first = np.r_[True, h[1:] != h[:-1]][: len(h)]
