@@ -289,9 +289,15 @@ def strip_sources(sources: DataFrame, **kinds: bool) -> DataFrame:
     return _rewritten(sources, lambda file, code: strip(code or "", **kinds), "code")
 
 
+def _by_file(sources: DataFrame) -> DataFrame:
+    """file and code, dealt by file into all shuffle partitions: files are few bytes for the time they take, so partitions must not
+    be merged for their size. The join with what is known of a file uses the same partitions."""
+    return sources.select("file", "code").repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+
+
 def apply_stubs(sources: DataFrame, stubs: DataFrame) -> DataFrame:
     """sources merged with the stub (file, code) beside each; a file without one stays as it is."""
-    known = with_stubs(sources.select("file", "code"), stubs)
+    known = with_stubs(_by_file(sources), stubs)
     return _rewritten(known, lambda file, code, stub: apply_stub(code or "", stub, file) if stub else code or "", "code", "stub")
 
 
@@ -299,7 +305,7 @@ def apply_predictions(sources: DataFrame, best: DataFrame, overwrite: bool = Fal
     """sources with the annotations of best: file, category, qname_ssa, anno, of each symbol the first."""
     one = first_per(best.filter("anno is not null"), ["file", "category", "qname_ssa"], "anno")
     lists = one.groupBy("file").agg(F.collect_list(F.struct("category", "qname_ssa", "anno")).alias("annos"))
-    known = sources.select("file", "code").join(lists, "file", "left")
+    known = _by_file(sources).join(lists, "file", "left")
     return _rewritten(known, lambda file, code, annos: apply(code or "", {(a["category"], a["qname_ssa"]): a["anno"] for a in annos or []}, file, overwrite, imports), "code", "annos")
 
 

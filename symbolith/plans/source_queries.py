@@ -18,12 +18,17 @@ _CODE = "'def ' || f || '(a: int, b) -> ' || t || ':' || chr(10) || '    v: ' ||
 _BARE = "'def ' || f || '(a, b):' || chr(10) || '    v = a' || chr(10) || '    for _ in b:' || chr(10) || '        v = 2' || chr(10)"
 
 
+def _tree(files: DataFrame) -> DataFrame:
+    """Files in several partitions, as a scan of a source tree has them: the table they are made from is one small file."""
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism)
+
+
 def programs(spark, d) -> DataFrame:
     n = F.col("c_nationkey") % 3
     t = F.when(n == 0, "int").when(n == 1, "str").otherwise("bytes")
     key = F.col("c_custkey").cast("string")
     code = F.concat(F.lit("def f"), key, F.lit("(a: int, b) -> "), t, F.lit(":\n    v: "), t, F.lit(" = a\n    for _ in b:\n        v = 2\n"))
-    return table(spark, d, "customer").select(F.concat(F.lit("c"), key, F.lit(".py")).alias("file"), code.alias("code"))
+    return _tree(table(spark, d, "customer").select(F.concat(F.lit("c"), key, F.lit(".py")).alias("file"), code.alias("code")))
 
 
 @query(f"WITH {_ROWS} SELECT * FROM s UNION ALL SELECT file, 'VARIABLE', f || '._', f || '._λ1', NULL FROM r")
@@ -97,7 +102,7 @@ def _filled_sql(text: str) -> str:
 
 
 def _programs(spark, d, text: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("file"), _filled(text).alias("code"))
+    return _tree(table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("file"), _filled(text).alias("code")))
 
 
 @query(f"SELECT 'c' || cast(c_custkey AS varchar) || '.py' AS file, {_filled_sql('from __future__ import annotations' + chr(10) + 'import amod' + chr(10) + _SIZED)} AS code FROM customer")
