@@ -31,6 +31,8 @@ class Module:
         self.external: list[set[str]] = [set()]
         self.moved: set[str] = set()
         self.loops = self.branches = 0
+        self.node: ast.expr | None = None  # of the variable being added, and whether its hint comes from outside its block
+        self.lowered = False
         self.functions: dict[tuple, list] = {}
         self.variables: dict[str, list] = {}
         tree = ast.parse(code)
@@ -135,8 +137,8 @@ class Module:
             return f"self.{node.attr}"
         return None
 
-    def targets(self, nodes: list[ast.expr]) -> list[str]:
-        """Names that targets bind, outer ones first."""
+    def targets(self, nodes: list[ast.expr]) -> list[tuple[str, ast.expr]]:
+        """Names that targets bind and their nodes, outer ones first."""
         out, queue = [], deque(nodes)
         while queue:
             node = queue.popleft()
@@ -145,7 +147,7 @@ class Module:
             elif isinstance(node, ast.Starred):
                 queue.append(node.value)
             elif (name := self.target(node)) is not None:
-                out.append(name)
+                out.append((name, node))
         return out
 
     def free(self, name: str) -> bool:
@@ -155,27 +157,28 @@ class Module:
             return False
         return True
 
-    def hint(self, name: str) -> tuple[str | None, bool]:
-        """The hint in force for a name, and whether it is still unused."""
+    def hint(self, name: str) -> tuple[str | None, bool, bool]:
+        """The hint in force for a name, whether it is still unused, and whether it comes from outside the block."""
         key = self.qname(name)
         if key in self.hints[-1]:
-            anno, used = self.hints[-1][key]
-            return anno, not used
+            anno, used, lowered = self.hints[-1][key]
+            return anno, not used, lowered
         for outer in reversed(self.hints[:-1]):
             if key in outer:
-                anno, used = outer[key]
+                anno, used, _ = outer[key]
                 outer[key][1] = True
-                self.hints[-1][key] = [anno, True]
-                return anno, not used
-        return None, False
+                self.hints[-1][key] = [anno, True, True]
+                return anno, not used, True
+        return None, False, False
 
-    def bind(self, name: str, label_unused: bool) -> None:
+    def bind(self, name: str, label_unused: bool, node: ast.expr) -> None:
         if not self.free(name):
             return
-        anno, unused = self.hint(name)
+        anno, unused, self.lowered = self.hint(name)
+        self.node = node
         label = anno if label_unused and unused else None
         if label is not None:
-            self.hints[-1][self.qname(name)] = [anno, True]
+            self.hints[-1][self.qname(name)][1] = True
         self.variable(name, label, label, anno)
 
     # statements
@@ -227,27 +230,28 @@ class Module:
             if name is None or not self.free(name):
                 return
             if s.value is None and not in_class:
-                self.hints[-1][self.qname(name)] = [anno, False]
+                self.hints[-1][self.qname(name)] = [anno, False, False]
             else:
-                self.hints[-1][self.qname(name)] = [anno, True]
+                self.hints[-1][self.qname(name)] = [anno, True, False]
+                self.node, self.lowered = s.target, False
                 self.variable(name, anno, anno, anno)
         elif isinstance(s, ast.Assign):
             ellipsis = isinstance(s.value, ast.Constant) and s.value.value is ...
             if len(s.targets) == 1 and not isinstance(s.targets[0], (ast.Tuple, ast.List)):
                 name = self.target(s.targets[0])
                 if name is not None and (in_class or not ellipsis):
-                    self.bind(name, False)
+                    self.bind(name, False, s.targets[0])
             else:
-                for name in self.targets(s.targets):
-                    self.bind(name, True)
+                for name, node in self.targets(s.targets):
+                    self.bind(name, True, node)
         elif isinstance(s, ast.AugAssign):
-            for name in self.targets([s.target]):
-                self.bind(name, True)
+            for name, node in self.targets([s.target]):
+                self.bind(name, True, node)
         elif isinstance(s, (ast.For, ast.AsyncFor, ast.While)):
             self.loops += 1
             if not isinstance(s, ast.While):
-                for name in self.targets([s.target]):
-                    self.bind(name, True)
+                for name, node in self.targets([s.target]):
+                    self.bind(name, True, node)
             own |= self.block(s.body)
             if s.orelse:
                 own |= self.branch(s.orelse)
@@ -255,8 +259,8 @@ class Module:
         elif isinstance(s, ast.If):
             own |= self.condition(s)
         elif isinstance(s, (ast.With, ast.AsyncWith)):
-            for name in self.targets([i.optional_vars for i in s.items if i.optional_vars]):
-                self.bind(name, True)
+            for name, node in self.targets([i.optional_vars for i in s.items if i.optional_vars]):
+                self.bind(name, True, node)
             self.body(s.body)
         elif isinstance(s, (ast.Try, ast.TryStar)):
             found = self.block(s.body)

@@ -128,3 +128,16 @@ def voting(predictions: DataFrame, ancestors: dict[str, list[str]], *order, rule
         F.expr("array_join(array_sort(array_distinct(filter(p, x -> size(won) = 0 or array_contains(won, x.anno)).agent)), '+')").alias("method"),
         F.lit(1).alias("topn"),
     )
+
+
+def coherent(graph: Column) -> Column:
+    """Whether each argument that is labelled in has no more con than pro, and each that is out no more pro than con. graph: an array of
+    (label, pro, con), labels as in RULES; an empty one is coherent."""
+    return F.forall(graph, lambda g: F.when(g["label"] == 1, g["pro"] >= g["con"]).when(g["label"] == -1, g["pro"] <= g["con"]).otherwise(True))
+
+
+def coherent_by(graph: Column, c: int) -> Column:
+    """Whether arguments in have more than c pro above con, those out less than c, and undecided ones at most c either way: all of
+    them, not only those behind the last undecided one."""
+    lead = lambda g: g["pro"] - g["con"]
+    return F.forall(graph, lambda g: F.when(g["label"] == 1, lead(g) > c).when(g["label"] == -1, lead(g) < c).otherwise(F.abs(lead(g)) <= c))

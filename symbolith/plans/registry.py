@@ -318,3 +318,13 @@ def q32_hits_at_k(spark, d):
     truth = base(spark, d).filter("anno is not null").select("file", "category", "qname_ssa", F.col("anno").alias("anno_gt"))
     best = pred(spark, d).join(truth, ["file", "category", "qname_ssa"]).groupBy("method", "qname_ssa").agg(F.min(F.when(F.col("anno") == F.col("anno_gt"), F.col("topn"))).alias("best"))
     return best.groupBy("method").agg(F.count("*").alias("n"), *(F.count_if(F.col("best") <= k).alias(f"hit_{k}") for k in (1, 3, 5)))
+
+
+@query("""SELECT o_custkey AS id, bool_and(CASE WHEN label = 1 THEN pro >= con WHEN label = -1 THEN pro <= con ELSE true END) AS coherent,
+bool_and(CASE WHEN label = 1 THEN pro - con > 1 WHEN label = -1 THEN pro - con < 1 ELSE abs(pro - con) <= 1 END) AS by_one
+FROM (SELECT o_custkey, cast(o_orderkey % 3 - 1 AS integer) AS label, cast(o_orderkey % 5 AS integer) AS pro, cast(o_custkey % 4 AS integer) AS con FROM orders) GROUP BY 1""")
+def q51_coherence(spark, d):
+    o = table(spark, d, "orders")
+    item = F.struct((F.col("o_orderkey") % 3 - 1).cast("int").alias("label"), (F.col("o_orderkey") % 5).cast("int").alias("pro"), (F.col("o_custkey") % 4).cast("int").alias("con"))
+    graph = o.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(item).alias("g"))
+    return graph.select("id", resolve.coherent(F.col("g")).alias("coherent"), resolve.coherent_by(F.col("g"), 1).alias("by_one"))

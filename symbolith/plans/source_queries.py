@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import align, extract, functions, predict, rewrite
+from ..operators import align, extract, functions, predict, renaming, rewrite
 from ..session import table
 from .registry import query
 
@@ -140,3 +140,41 @@ def q44_typed_nodes(spark, d):
     nodes = functions.node_frame(code)
     types = code.select("file", F.lit(4).cast("long").alias("line"), F.lit(_LARGE.split("\n")[3].index("rest")).cast("long").alias("col"), F.lit("tuple").alias("anno"))
     return functions.typed_nodes(nodes, types).drop("ord")
+
+
+_NUMBERED = _LARGE.replace("size =", "sizeλ1 =").replace("a, b =", "aλ1, bλ1 =").replace("as f:", "as fλ1:").replace("self.text =", "self.textλ1 =")
+
+
+@query(f"SELECT 'c' || cast(c_custkey AS varchar) || '.py' AS file, {_filled_sql(_NUMBERED)} AS code FROM customer")
+def q48_numbered_names(spark, d):
+    return renaming.numbered_sources(_programs(spark, d, _LARGE)).select("file", "code")
+
+
+#: A hint that two branches and a loop are under, one of them with a hint of its own.
+_HINTED = "v: int\nif NAME:\n    v = 1\nelse:\n    v: str = '2'\n    v = '3'\nfor v in ():\n    v += NAME\n"
+_LOWERED = _HINTED.replace("    v = 1", f"    v: int = {renaming.MARKER}; v = 1").replace("    v +=", f"    v: int = {renaming.MARKER}; v +=")
+
+
+@query(f"SELECT 'c' || cast(c_custkey AS varchar) || '.py' AS file, {_filled_sql(_LOWERED)} AS code, {_filled_sql(_HINTED)} AS back FROM customer")
+def q49_lowered_hints(spark, d):
+    there = renaming.lowered_sources(_programs(spark, d, _HINTED))
+    back = renaming.plain_sources(renaming.unlowered_sources(renaming.numbered_sources(there)))
+    return there.select("file", "code").join(back.select("file", F.col("code").alias("back")), "file")
+
+
+def _argument_types(file: str, code: str):
+    """A tool for the query below: a parameter without a default is an int. It fails on files whose number ends in 7."""
+    import ast
+
+    if file.endswith("7.py"):
+        raise ValueError(file)
+    for node in ast.walk(ast.parse(code)):
+        if isinstance(node, ast.FunctionDef):
+            for p in node.args.args:
+                yield "CALLABLE_PARAMETER", f"{node.name}.{p.arg}", f"{node.name}.{p.arg}", "int", 1
+
+
+@query("""SELECT 'c' || k || '.py' AS file, CASE WHEN k LIKE '%7' THEN NULL ELSE 'f' || k || '.' || p END AS qname, CASE WHEN k LIKE '%7' THEN 'ValueError: c' || k || '.py' END AS error
+FROM (SELECT cast(c_custkey AS varchar) AS k FROM customer), (SELECT unnest(['a', 'b']) AS p) WHERE NOT (k LIKE '%7' AND p = 'b')""")
+def q50_inference_per_file(spark, d):
+    return predict.per_file(programs(spark, d), _argument_types, "ints").select("file", "qname", "error")

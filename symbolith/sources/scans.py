@@ -72,6 +72,29 @@ def test_folder(spark: SparkSession, root: str) -> DataFrame:
     return named.groupBy(F.col("n")[0].alias("author"), F.col("n")[1].alias("project")).agg(F.array_sort(F.collect_set("file")).alias("files"))
 
 
+def data_set(spark: SparkSession, root: str) -> DataFrame:
+    """author, project, file, code and error of every Python file of a data set, whose folder's name tells where projects lie: by
+    author, as author__project, or the folder itself, which is then both author and project."""
+    kind, name = layout(root), os.path.basename(root.rstrip("/"))
+    if kind == MANYTYPES:
+        return crawl(spark, f"{root}/repos").filter(~F.col("author").startswith("."))
+    if kind == PROJECT:
+        return sources(spark, root).select(F.lit(name).alias("author"), F.lit(name).alias("project"), "file", "code", "error")
+    parts = F.split("file", "/", 2)
+    found = sources(spark, f"{root}/repos/test").filter(F.size(parts) == 2).withColumn("__n", author_and_repo(parts[0]))
+    return found.select("__n.author", F.col("__n.repo").alias("project"), parts[1].alias("file"), "code", "error")
+
+
+def test_set(spark: SparkSession, root: str) -> DataFrame:
+    """author, project and files (sorted) of a data set's test split; of a single project all files."""
+    kind = layout(root)
+    if kind == MANYTYPES:
+        return split_file(spark, f"{root}/data/dataset_split.csv")
+    if kind != PROJECT:
+        return test_folder(spark, root)
+    return data_set(spark, root).groupBy("author", "project").agg(F.array_sort(F.collect_set("file")).alias("files"))
+
+
 def author_and_repo(name: Column) -> Column:
     """Both parts of author__repo; anything else is an error."""
     parts = F.split(name, "__")
