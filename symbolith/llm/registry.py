@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, filter_audit, html_extract, langid, mixing, passages, pii, quality, simhash, suffix_dedup
+from . import bpe, exact_dedup, filter_audit, html_extract, langid, mixing, passages, pii, quality, simhash, suffix_dedup, topk
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_quality": quality.op10_quality,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_topk": topk.op12_topk,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op10_quality": quality.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op12_topk": topk.ORACLE,
 }
