@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, filter_audit, html_extract, langid, mixing, passages, pii, quality, simhash, suffix_dedup, topk
+from . import align_tokens, bpe, exact_dedup, filter_audit, html_extract, langid, mixing, passages, pii, quality, simhash, suffix_dedup, topk
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_topk": topk.op12_topk,
+    "op13_align_tokens": align_tokens.op13_align_tokens,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.ORACLE,
