@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +30,14 @@ def local_session(cores: int | None = None, name: str = "symbolith") -> SparkSes
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share, from spark.checkpoint.dir; on a single machine a temporary one where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="symbolith-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found

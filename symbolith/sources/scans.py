@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ANNOTATED, CONTEXT, PREDICTIONS
+from ..shipping import ship
+from .tree import SourceTree
 
 #: Folder names of data sets whose layout is known. Fixed values.
 MANYTYPES, BETTERTYPES, PROJECT = "many-types-4-py-dataset", "better-types-4-py-dataset", "project"
@@ -23,19 +25,18 @@ def layout(path: str) -> str:
     return name if name in (MANYTYPES, BETTERTYPES) else PROJECT
 
 
-def sources(spark: SparkSession, root: str, stubs: bool = False, subset: DataFrame | None = None) -> DataFrame:
-    """file (below root), code and error of each Python file below root, or of root itself. A file that isn't UTF-8 has an error
-    and no code; an empty file has no row. subset: a frame of `file`s, others aren't read on; names without a file are silently left out."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    single = root.endswith((".py", ".pyi"))
-    raw = read.load(root) if single else read.option("pathGlobFilter", "*.{py,pyi}" if stubs else "*.py").load(root)
-    base = (os.path.dirname(root) if single else root).rstrip("/").removeprefix("file://").removeprefix("file:")
-    below = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in base) + "/", "")
-    found = raw.select(below.alias("file"), "content")
+def sources(spark: SparkSession, root: str, stubs: bool = False, subset: DataFrame | None = None, depth: int = 0) -> DataFrame:
+    """file (below root), code and error of each Python file below root, or of root itself, in one pass: __init__.py and hidden names
+    too. A file or folder that can't be read, or a file that isn't UTF-8, has an error and no code. subset: a frame of `file`s, others
+    aren't kept; names without a file are silently left out. depth: see tree."""
+    ship(spark)
+    spark.dataSource.register(SourceTree)
+    read = spark.read.format("source_tree").option("suffixes", ".py,.pyi" if stubs or root.endswith(".pyi") else ".py").option("depth", depth)
+    found = read.option("partition_bytes", spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()).load(root)
     if subset is not None:
         found = found.join(subset.select("file").distinct(), "file", "left_semi")
     code = F.try_validate_utf8(F.col("content").cast("string"))
-    return found.select("file", code.alias("code"), F.when(code.isNull(), "not UTF-8").alias("error"))
+    return found.select("file", code.alias("code"), F.when(F.col("error").isNotNull(), F.col("error")).when(code.isNull(), "not UTF-8").alias("error"))
 
 
 def split_rows(rows: DataFrame, split: str = "test") -> DataFrame:
@@ -55,7 +56,7 @@ def crawl(spark: SparkSession, root: str) -> DataFrame:
     """author, project, file, code and error of every Python file below author/project folders; what can't be read has an error and
     doesn't stop the rest."""
     parts = F.split("file", "/", 3)
-    return sources(spark, root).filter(F.size(parts) == 3).select(parts[0].alias("author"), parts[1].alias("project"), parts[2].alias("file"), "code", "error")
+    return sources(spark, root, depth=2).filter(F.size(parts) == 3).select(parts[0].alias("author"), parts[1].alias("project"), parts[2].alias("file"), "code", "error")
 
 
 def projects(files: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ANNOTATED, CONTEXT, PREDICTIONS, TRAINING, assert_schema
+from .tree import Local, store
 
 
 def prediction_path(root: str, tool: str, removed: list[str], inferred: list[str], project: str) -> str:
@@ -37,15 +38,19 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_sources(df: DataFrame, root: str) -> None:
-    """Each row's code as the file of its name below root, a folder that all executors share."""
+    """Each row's code as the file of its name below root, a mounted folder that all executors share."""
+    top = store(root)
+    if not isinstance(top, Local):
+        raise ValueError(f"not a mounted folder: {root}")
+    top = top.root
 
     def put(rows):
         import os
 
         for row in rows:
-            path = os.path.join(root, row.file)
+            path = os.path.join(top, row.file)
             os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "w", encoding="utf-8") as out:
+            with open(path, "w", encoding="utf-8", newline="") as out:
                 out.write(row.code or "")
 
     df.select("file", "code").foreachPartition(put)

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import symbolith.plans.shape_queries  # noqa: F401
+import symbolith.plans.tree_queries  # noqa: F401
 from symbolith.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
