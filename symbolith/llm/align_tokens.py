@@ -35,7 +35,7 @@ from .bpe import _S as WHITE
 from .bpe import byte_signs, vocabulary
 from .common import read, ship, slices, stash
 
-BLOCK, WINDOW, LEARN, KEEP, SALTS = 16_000_000, 1_000_000, 20_000, 400_000, 16
+BLOCK, WINDOW, LEARN, KEEP, SALTS = 8_000_000, 1_000_000, 20_000, 250_000, 16
 _SPACES = [c for c in map(chr, range(0x3001)) if regex.match(f"[{WHITE}]", c)]
 SPACE_MARK = "▁"
 #: What a model's own changes of text would show in.
@@ -215,9 +215,9 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
 
         def flush():
             totals, at, item, times, *own = block.columns()
-            n, ints = len(block.ids), pa.list_(pa.int32())
-            one = [pa.array([None] * n + [x.tolist()], pa.list_(pa.int64()) if k == 3 else ints) for k, x in enumerate(own)]
+            n = len(block.ids)
             lists = [pa.ListArray.from_arrays(pa.array(np.r_[at, at[-1]], pa.int32()), pa.array(x, pa.int32())) for x in (item, times)]
+            one = [pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(x)], pa.int32()), pa.array(x, pa.int64() if k == 3 else pa.int32())) for k, x in enumerate(own)]
             longs = [pa.array([*t.tolist(), None], pa.int64()) for t in totals]
             name = pa.array([(task << 33) + done] * (n + 1), pa.int64())
             yield pa.RecordBatch.from_arrays([name, pa.array([*block.ids, None], ids_type), *longs, pa.array([*block.digests, None], pa.string()), *lists, *one], names)
