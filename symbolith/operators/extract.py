@@ -4,7 +4,6 @@ context features. Files are worked on in Arrow batches; rows leave Python flat,
 from __future__ import annotations
 
 import ast
-import builtins
 from collections import deque
 
 from pyspark.sql import DataFrame
@@ -14,8 +13,8 @@ from ..functions.scalars import is_builtin
 from ..schemas import CONTEXT_CODES
 from ..shipping import ship
 from .numbering import number
+from .scopes import Scope, Scopes
 
-_BUILTINS = frozenset(dir(builtins))
 SCHEMA = "file string, category string, qname string, anno string, simple_name string, labelled string, inferred string, loop int, reassigned int, nested int, branching int, ord long, error string"
 
 
@@ -23,8 +22,7 @@ class Module:
     """What one file declares. symbols: (category, qname, anno, simple name, labelled, inferred, loop, reassigned, nested, branching)."""
 
     def __init__(self, code: str, file: str = "x.py", lax: bool = False):
-        self.package = [p for p in file.replace("\\", "/").split("/")[:-1] if p not in ("", ".")]
-        self.lax, self.names, self.defined = lax, {}, set()
+        self.lax = lax
         self.scope: list[tuple[str, str]] = []  # (kind, name)
         self.hints: list[dict[str, list]] = [{}]
         self.seen: list[list[set[str]]] = [[set()]]  # per scope the blocks' names
@@ -35,47 +33,36 @@ class Module:
         self.lowered = False
         self.functions: dict[tuple, list] = {}
         self.variables: dict[str, list] = {}
-        tree = ast.parse(code)
-        for node in ast.walk(tree):
-            self.declare(node)
-        self.body(tree.body)
+        self.tree = ast.parse(code)
+        self.scopes = Scopes(self.tree, [p for p in file.replace("\\", "/").split("/")[:-1] if p not in ("", ".")])
+        self.here = self.scopes.top
+        self.skipped: list[tuple[int, str]] = []
+        self.body(self.tree.body)
         self.symbols = [s for f in self.functions.values() for s in f] + [s for v in self.variables.values() for s in v]
         self.symbols = [(*s[:7], int(s[7] or s[1] in self.moved), *s[8:]) for s in self.symbols]
 
-    # names and annotations
-
-    def declare(self, node: ast.AST) -> None:
-        if isinstance(node, ast.Import):
-            for a in node.names:
-                self.names[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
-        elif isinstance(node, ast.ImportFrom):
-            up = self.package[: len(self.package) - node.level + 1] if node.level else []
-            prefix = ".".join([*up, *([node.module] if node.module else [])])
-            for a in node.names:
-                if a.name != "*":
-                    self.names[a.asname or a.name] = f"{prefix}.{a.name}" if prefix else a.name
-        elif isinstance(node, ast.ClassDef):
-            self.defined.add(node.name)
-
-    def anno(self, node: ast.expr | None) -> str | None:
-        """An annotation with all names qualified."""
+    # annotations
+
+    def anno(self, node: ast.expr | None, scope: Scope | None = None) -> str | None:
+        """An annotation with its names qualified, as they stand in a scope (here, if none is given). Names of the file itself keep their path in
+        it, unknown ones stay. Of what stands in brackets only names and what is in brackets itself is qualified, of a call
+        its function alone stays, and nothing in Type[...] is touched."""
         if node is None:
             return None
+        scope = scope or self.here
         if isinstance(node, ast.Name):
-            if node.id in self.names:
-                return self.names[node.id]
-            return f"builtins.{node.id}" if node.id in _BUILTINS and node.id not in self.defined and node.id != "None" else node.id
+            return scope.lookup(node.id) or node.id
         if isinstance(node, ast.Attribute):
-            return f"{self.anno(node.value)}.{node.attr}"
+            return f"{self.anno(node.value, scope)}.{node.attr}"
         if isinstance(node, ast.Subscript):
+            whole = self.anno(node.value, scope)
             inner = node.slice.elts if isinstance(node.slice, ast.Tuple) else [node.slice]
-            return f"{self.anno(node.value)}[{', '.join(self.anno(x) for x in inner)}]"
-        if isinstance(node, ast.BinOp):
-            return f"{self.anno(node.left)} | {self.anno(node.right)}"
-        if isinstance(node, (ast.List, ast.Tuple)):
-            return f"[{', '.join(self.anno(x) for x in node.elts)}]"
+            known = (ast.Name, ast.Attribute, ast.Subscript) if whole not in ("Type", "typing.Type") else ()
+            return f"{whole}[{', '.join(self.anno(x, scope) if isinstance(x, known) else ast.unparse(x) for x in inner) or '()'}]"
+        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
+            return f"{self.anno(node.left, scope)} | {self.anno(node.right, scope)}"
         if isinstance(node, ast.Call):
-            return self.anno(node.func)
+            return self.anno(node.func, scope)
         return ast.unparse(node)
 
     def qname(self, name: str) -> str:
@@ -95,38 +82,31 @@ class Module:
         row = self.add("VARIABLE", name, anno, labelled, inferred)
         self.variables.setdefault(row[1], []).append(row)
 
+    def hinted(self, name: str, node: ast.expr) -> None:
+        """A hint in front of what it is for, which gives no row."""
+
     def function(self, node) -> None:
         a = node.args
         params = [*a.posonlyargs, *a.args, *a.kwonlyargs]
-        returns = self.anno(node.returns)
+        around, signature_scope = self.here, self.scopes.signature[node]
+        returns = self.anno(node.returns, signature_scope)
         rows = [self.add("CALLABLE_RETURN", node.name, returns if returns is not None or not self.lax else "None", returns, returns, True)]
         self.scope.append(("function", node.name))
         self.seen.append([set()])
-        self.external.append({n for s in ast.walk(node) if isinstance(s, (ast.Global, ast.Nonlocal)) for n in s.names if self.owns(node, s)})
+        self.here = self.scopes.of[node]
+        self.external.append(set(self.here.moved))
         loops, branches, self.loops, self.branches = self.loops, self.branches, 0, 0
         for p in params:
-            anno = self.anno(p.annotation)
+            anno = self.anno(p.annotation, signature_scope)
             rows.append(self.add("CALLABLE_PARAMETER", p.arg, anno, anno, anno))
         signature = tuple((p.arg, ast.dump(p.annotation) if p.annotation else None) for p in params)
         self.functions[(self.qname(""), signature)] = rows
         self.body(node.body)
-        self.loops, self.branches = loops, branches
+        self.loops, self.branches, self.here = loops, branches, around
         self.external.pop()
         self.seen.pop()
         self.scope.pop()
 
-    @staticmethod
-    def owns(function, statement) -> bool:
-        """Whether a statement is the function's own, not one of a function inside it."""
-        queue = deque(function.body)
-        while queue:
-            node = queue.popleft()
-            if node is statement:
-                return True
-            if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
-                queue.extend(ast.iter_child_nodes(node))
-        return False
-
     # targets and hints
 
     @staticmethod
@@ -218,10 +198,12 @@ class Module:
         if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
             self.function(s)
         elif isinstance(s, ast.ClassDef):
+            around, self.here = self.here, self.scopes.of[s]
             self.scope.append(("class", s.name))
             self.seen.append([set()])
-            self.external.append(set())
+            self.external.append(set(self.here.moved))
             self.body(s.body)
+            self.here = around
             self.external.pop()
             self.seen.pop()
             self.scope.pop()
@@ -230,6 +212,7 @@ class Module:
             if name is None or not self.free(name):
                 return
             if s.value is None and not in_class:
+                self.hinted(name, s.target)
                 self.hints[-1][self.qname(name)] = [anno, False, False]
             else:
                 self.hints[-1][self.qname(name)] = [anno, True, False]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .extract import Module
 from .select import usable_arguments, usable_returns
 
 FUNCTIONS = "file string, cls_name string, func_name string, arg_names array<string>, arg_types array<string>, return_type string, return_expr array<string>, ord long"
@@ -59,38 +60,33 @@ def function_rows(code: str) -> list[tuple]:
     return out
 
 
-def node_rows(code: str) -> list[tuple]:
-    """Per function, parameter (of stars too) and name that is bound, hinted ones too: category, qname, line and column (bytes)."""
-    out = []
-    tree = ast.parse(code)
+class Nodes(Module):
+    """A file's symbols with their places, as extraction names them: functions, parameters (of stars too), names that are bound, and hints in front."""
 
-    def targets(node: ast.AST):
-        for child in _own(node):
-            if isinstance(child, ast.Name) and isinstance(child.ctx, ast.Store):
-                yield child.id, child
-            elif isinstance(child, ast.Attribute) and isinstance(child.ctx, ast.Store) and isinstance(child.value, ast.Name) and child.value.id == "self":
-                yield f"self.{child.attr}", child
+    def __init__(self, code: str):
+        self.places: list[tuple[str, str, int, int]] = []
+        super().__init__(code)
 
-    def bound(node: ast.AST, names: tuple[str, ...]) -> None:
-        out.extend(("VARIABLE", ".".join([*names, name]), child.lineno, child.col_offset) for name, child in targets(node))
+    def place(self, category: str, name: str, node: ast.AST) -> None:
+        self.places.append((category, self.qname(name), node.lineno, node.col_offset))
 
-    bound(tree, ())
-    for node, names in _scopes(tree):
-        out.append(("CALLABLE_RETURN", ".".join(names), node.lineno, node.col_offset))
-        out += [("CALLABLE_PARAMETER", ".".join([*names, p.arg]), p.lineno, p.col_offset) for p in parameters(node)]
-        bound(node, names)
-    for cls, names in _classes(tree):
-        bound(cls, names)
-    return [(*row, k) for k, row in enumerate(sorted(out, key=lambda r: (r[2], r[3])))]
+    def function(self, node) -> None:
+        self.place("CALLABLE_RETURN", node.name, node)
+        for p in parameters(node):
+            self.place("CALLABLE_PARAMETER", f"{node.name}.{p.arg}", p)
+        super().function(node)
 
+    def variable(self, name: str, anno, labelled, inferred) -> None:
+        super().variable(name, anno, labelled, inferred)
+        self.place("VARIABLE", name, self.node)
 
-def _classes(tree: ast.Module):
-    todo: list[tuple[ast.AST, tuple[str, ...]]] = [(tree, ())]
-    while todo:
-        node, names = todo.pop()
-        if isinstance(node, ast.ClassDef):
-            yield node, names
-        todo += [(c, (*names, c.name) if isinstance(c, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) else names) for c in ast.iter_child_nodes(node)]
+    def hinted(self, name: str, node: ast.AST) -> None:
+        self.place("VARIABLE", name, node)
+
+
+def node_rows(code: str) -> list[tuple]:
+    """Of each of a file's Nodes: category, qname, line, column (bytes) and order."""
+    return [(*row, k) for k, row in enumerate(sorted(Nodes(code).places, key=lambda r: (r[2], r[3])))]
 
 
 def _per_file(sources: DataFrame, rows_of, schema: str) -> DataFrame:

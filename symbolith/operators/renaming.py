@@ -7,9 +7,10 @@ import re
 
 from pyspark.sql import DataFrame
 
+from .edits import Text
 from .extract import Module
 from .numbering import SIGN
-from .rewrite import Text, _rewritten
+from .rewrite import _rewritten
 
 #: The value of a hint that was written into a block. A fixed value.
 MARKER = "λ__LOWERED_HINT_MARKER__λ"
@@ -27,14 +28,14 @@ def _stored(code: str):
 
 
 class Binder(Module):
-    """A file's variables with the nodes that bind them (bound) and those of hints in front (hinted), by name and number; and the hints
+    """A file's variables with the nodes that bind them (bound) and those of hints in front (fronts), by name and number; and the hints
     that come from outside a block (outer) with the statements that they are for."""
 
     def __init__(self, code: str, file: str = "x.py"):
         self.text, self.current = Text(code), None
         self.count: dict[str, int] = {}
         self.bound: list[tuple[str, int, ast.expr]] = []
-        self.hinted: list[tuple[str, int, ast.expr]] = []
+        self.fronts: list[tuple[str, int, ast.expr]] = []
         self.outer: list[tuple[ast.stmt, str, str]] = []
         self.written: dict[tuple[str, str | None], str] = {}  # annotations as they stand in the source
         super().__init__(code, file)
@@ -47,7 +48,7 @@ class Binder(Module):
             self.written[key, anno] = self.text.raw[self.text.start(s.annotation) : self.text.end(s.annotation)].decode()
             in_class = bool(self.scope) and self.scope[-1][0] == "class"
             if _marked(s) or (s.value is None and not in_class):
-                self.hinted.append((key, self.count.get(key, 0) + 1, s.target))
+                self.fronts.append((key, self.count.get(key, 0) + 1, s.target))
             if _marked(s):
                 self.hints[-1][key] = [anno, False, False]
                 self.current = before
@@ -70,7 +71,7 @@ def numbered(code: str, file: str = "x.py") -> str:
     if any(SIGN in (n.id if isinstance(n, ast.Name) else n.attr) for n in _stored(code)):
         raise ValueError(f"a name has {SIGN} in it")
     work = Binder(code, file)
-    for key, k, node in work.bound + work.hinted:
+    for key, k, node in work.bound + work.fronts:
         if k <= work.count.get(key, 0):
             at = work.text.end(node)
             work.text.edit(at, at, f"{SIGN}{k}")

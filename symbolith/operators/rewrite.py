@@ -1,102 +1,80 @@
-"""Rewriting of Python source text: annotations removed, applied or compared. Edits are spans of UTF-8 bytes that the syntax
-tree names, so everything else stays as it is written."""
+"""Rewriting of Python source text: annotations removed, applied or compared, by edits of the spans that the syntax tree names."""
 
 from __future__ import annotations
 
 import ast
 import difflib
 import re
+import tokenize
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from ..sources.scans import with_stubs
+from .edits import Text
 from .extract import Module
 from .select import first_per
 
 FUTURE = "from __future__ import annotations"
-_COLON = re.compile(rb"#[^\r\n]*|:")
 #: A dotted name that isn't part of a longer one, nor of a string.
 _DOTTED = re.compile(r"""'[^']*'|"[^"]*"|(?<![\w.])((?:[^\W\d]\w*\.)+)[^\W\d]\w*""")
 
 
-class Text:
-    """A source with the byte offsets of its lines, and edits to make."""
-
-    def __init__(self, code: str):
-        self.raw = code.encode()
-        self.lines = [0]
-        for line in self.raw.splitlines(keepends=True):
-            self.lines.append(self.lines[-1] + len(line))
-        self.edits: list[tuple[int, int, bytes]] = []
-
-    def at(self, line: int, column: int) -> int:
-        return self.lines[line - 1] + column
-
-    def start(self, node) -> int:
-        return self.at(node.lineno, node.col_offset)
-
-    def end(self, node) -> int:
-        return self.at(node.end_lineno, node.end_col_offset)
-
-    def edit(self, a: int, b: int, text: str) -> None:
-        self.edits.append((a, b, text.encode()))
-
-    def done(self) -> str:
-        out, done = [], 0
-        for a, b, text in sorted(self.edits, key=lambda e: (e[0], e[1])):
-            out += [self.raw[done:a], text]
-            done = b
-        return b"".join([*out, self.raw[done:]]).decode()
-
-
 def strip(code: str, variables: bool = True, parameters: bool = True, returns: bool = True) -> str:
-    """code without annotations of the chosen kinds. A bare hint in a class becomes `name = ...`, elsewhere it goes; a body that would
-    be empty gets `pass`."""
+    """code without annotations of the chosen kinds, with the brackets, comments and line joins inside them. A bare hint in a class
+    becomes `name = ...`, elsewhere it goes; a body that would be empty gets `pass`. What doesn't compile is an error, never returned."""
     text, tree = Text(code), ast.parse(code)
     for parent in ast.walk(tree):
         if isinstance(parent, (ast.FunctionDef, ast.AsyncFunctionDef)):
             if returns and parent.returns:
-                arrow = text.raw.rindex(b"->", 0, text.start(parent.returns))
-                text.edit(len(text.raw[:arrow].rstrip(b" \t")), text.end(parent.returns), "")
+                first, last = text.tokens.around(text.start(parent.returns), text.end(parent.returns))
+                text.edit(text.tokens.end[first - 2], text.tokens.end[last], "")  # from behind the token before ->
             a = parent.args
             for p in [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))] if parameters else []:
                 if p.annotation:
-                    text.edit(text.start(p) + len(p.arg.encode()), text.end(p.annotation), "")
+                    text.edit(text.start(p) + len(text.tokens.text[text.tokens.from_(text.start(p))].encode()), text.tokens.end[text.tokens.around(text.start(p.annotation), text.end(p.annotation))[1]], "")
         for field in ("body", "orelse", "finalbody") if variables else ():
             body = getattr(parent, field, None)
-            if not isinstance(body, list):
-                continue
-            gone = [s for s in body if isinstance(s, ast.AnnAssign) and s.value is None and not isinstance(parent, ast.ClassDef) and Module.target(s.target)]
-            for s in body:
-                if not isinstance(s, ast.AnnAssign):
-                    continue
-                if s in gone:
-                    a, b = text.start(s), text.end(s)
-                    line, rest = text.lines[s.lineno - 1], text.raw[b : text.lines[s.end_lineno]]
-                    if len(gone) == len(body) and s is gone[-1] and not isinstance(parent, ast.Module):
-                        text.edit(a, b, "pass")
-                    elif not text.raw[line:a].strip() and not rest.strip():
-                        text.edit(line, text.lines[s.end_lineno], "")
-                    elif rest.lstrip().startswith(b";"):
-                        text.edit(a, b + len(rest) - len(rest.lstrip().removeprefix(b";").lstrip(b" ")), "")
-                    else:
-                        text.edit(a, b, "pass")
-                else:
-                    text.edit(text.end(s.target), text.end(s.annotation), "" if s.value is not None else " = ...")
-    return text.done()
-
-
-def _colon(text: Text, node) -> int:
-    """Where the colon of a def stands: the first behind its type parameters and arguments that isn't in a comment."""
-    a = node.args
-    last = [*getattr(node, "type_params", []), *a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg, *a.defaults, *a.kw_defaults))]
-    at = max(map(text.end, last), default=text.start(node))
-    for m in _COLON.finditer(text.raw, at):
-        if m[0] == b":":
-            return m.start()
-    raise ValueError("a def without a colon")
+            if isinstance(body, list):
+                _strip_hints(text, parent, body)
+    if not text.edits:
+        return code
+    out = text.done()
+    compile(out, "x.py", "exec", dont_inherit=True)
+    return out
+
+
+def _strip_hints(text: Text, parent: ast.AST, body: list[ast.stmt]) -> None:
+    hints = [s for s in body if isinstance(s, ast.AnnAssign)]
+    gone = [s for s in hints if s.value is None and not (isinstance(parent, ast.ClassDef) and Module.target(s.target))]
+    for s in hints:
+        if s not in gone:  # from behind the target, brackets around it included
+            first, last = text.tokens.around(text.start(s.annotation), text.end(s.annotation))
+            text.edit(text.tokens.end[first - 2], text.tokens.end[last], "" if s.value is not None else " = ...")
+            continue
+        a, b = text.start(s), text.end(s)
+        line, rest = text.lines[s.lineno - 1], text.raw[b : text.lines[s.end_lineno]]
+        if len(gone) == len(body) and s is gone[-1] and not isinstance(parent, ast.Module):
+            text.edit(a, b, "pass")
+        elif not text.raw[line:a].strip() and not rest.strip():
+            text.edit(line, text.lines[s.end_lineno], "")
+        elif rest.lstrip().startswith(b";") and rest.lstrip().removeprefix(b";").strip():
+            text.edit(a, b + len(rest) - len(rest.lstrip().removeprefix(b";").lstrip(b" ")), "")
+        else:
+            text.edit(a, b, "pass")
+
+
+def _closing(text: Text, node) -> int:
+    """Where the parameters of a def end: behind their bracket."""
+    tokens = text.tokens
+    k = tokens.from_(text.start(node))
+    while tokens.text[k] != "def":
+        k += 1
+    k += 2
+    if tokens.text[k] == "[":  # type parameters
+        k = tokens.partner[k] + 1
+    return tokens.end[tokens.partner[k]]
 
 
 def parameters(node) -> tuple[str, ...]:
@@ -134,7 +112,7 @@ class Applier(Module):
     def function(self, node) -> None:
         a, name, own = node.args, self.qname(node.name), parameters(node)
         if anno := self.found("CALLABLE_RETURN", name, own):
-            self.annotated(node.returns, _colon(self.text, node) if node.returns is None else 0, anno, " -> {}")
+            self.annotated(node.returns, _closing(self.text, node) if node.returns is None else 0, anno, " -> {}")
         for p in [*a.posonlyargs, *a.args, *a.kwonlyargs]:
             self.annotated(p.annotation, self.text.end(p), self.found("CALLABLE_PARAMETER", f"{name}.{p.arg}", own), ": {}")
         super().function(node)
@@ -156,7 +134,9 @@ class Applier(Module):
         elif inferred is not None:
             return
         elif isinstance(s, ast.Assign) and len(s.targets) == 1 and not isinstance(s.targets[0], (ast.Tuple, ast.List)):
-            self.write(*[self.text.end(s.targets[0])] * 2, new, ": {}")
+            target = s.targets[0]
+            behind = self.text.tokens.end[self.text.tokens.around(self.text.start(target), self.text.end(target))[1]]
+            self.write(behind, behind, new, ": {}")
         else:
             start = self.text.start(s)
             before = self.text.raw[self.text.lines[s.lineno - 1] : start].decode()
@@ -276,7 +256,7 @@ def _rewritten(rows: DataFrame, work, *columns: str) -> DataFrame:
                 try:
                     code.append(work(file, *rest))
                     error.append(None)
-                except (SyntaxError, ValueError, RecursionError) as e:
+                except (SyntaxError, ValueError, RecursionError, tokenize.TokenError) as e:
                     code.append(rest[0])
                     error.append(str(e))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code, pa.string()), pa.array(error, pa.string())], ["file", "code", "error"])
