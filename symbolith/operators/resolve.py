@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SELECT_KEY
+from .hierarchy import OBJECT, up_lists
 
+#: Types of a dict of ancestors that are sent to all tasks; more are joined.
+SMALL = 10_000
 STATIC, DYNAMIC, PROBABILISTIC = "static", "dynamic", "probabilistic"
 DEFAULT_ORDER = (STATIC, DYNAMIC, PROBABILISTIC)
 
@@ -86,17 +89,26 @@ RULES = {
 }
 
 
-def voting(predictions: DataFrame, ancestors: dict[str, list[str]], *order, rule: str = "SF", keys: list[str] = SELECT_KEY, n_agents: int = 3) -> DataFrame:
+def _lists(spark, ancestors: dict[str, list[str]] | DataFrame) -> DataFrame:
+    """type and up, its ancestors, itself first. What the driver holds as a dict may travel whole, up to SMALL types."""
+    if isinstance(ancestors, DataFrame):
+        return up_lists(ancestors)
+    lists = spark.createDataFrame(sorted(ancestors.items()), "type string, up array<string>")
+    return F.broadcast(lists) if len(ancestors) <= SMALL else lists
+
+
+def voting(predictions: DataFrame, ancestors: dict[str, list[str]] | DataFrame, *order, rule: str = "SF", keys: list[str] = SELECT_KEY, n_agents: int = 3) -> DataFrame:
     """Subtype voting. An agent supports a type if it predicts a subtype of it. For each predicted type as the target, the other types are
     labelled from the most derived on, each by the support of its own defenders (labelled in) and attackers, and the target
     last: types below it defend it, others attack it. Targets labelled in are candidates; the candidates with the most
     supporting agents win, joined by ` | ` in order of first prediction. Method: the agents that predicted a winner. Without a candidate
-    the symbol stays unresolved."""
-    depth = F.create_map(*(F.lit(x) for t, a in sorted(ancestors.items()) for x in (t, len(a))))
-    up = F.create_map(*(x for t, a in sorted(ancestors.items()) for x in (F.lit(t), F.array(*map(F.lit, a)))))
-    below = F.coalesce(up[F.col("anno")], F.array("anno", F.lit("object")))
-    one = predictions.filter(F.col("anno").isNotNull()).withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    item = F.struct("n", "agent", "anno", below.alias("up"), F.coalesce(depth[F.col("anno")], F.lit(2)).alias("depth"))
+    the symbol stays unresolved. ancestors: lists by type, or a frame derived, base, place of any size (hierarchy.linearised), which is
+    joined by type; a type that isn't in it is below object alone."""
+    root = F.lit("object") if isinstance(ancestors, dict) else F.lit(OBJECT)
+    named = predictions.filter(F.col("anno").isNotNull()).join(_lists(predictions.sparkSession, ancestors).withColumnRenamed("type", "anno"), "anno", "left")
+    below = F.coalesce("up", F.array("anno", root))
+    one = named.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    item = F.struct("n", "agent", "anno", below.alias("up"), F.size(below).alias("depth"))
     grouped = one.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("p"))
     kinds = F.expr("transform(array_distinct(p.anno), a -> filter(p, x -> x.anno = a)[0])")
     supported = F.expr(f"transform(kinds, k -> named_struct('anno', k.anno, 'up', k.up, 'depth', k.depth, 'ins', size(array_distinct(filter(p, x -> array_contains(x.up, k.anno)).agent)), 'agents', {n_agents}))")
