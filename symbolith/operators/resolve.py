@@ -26,14 +26,16 @@ def _rank(order: tuple[str, ...]) -> Column:
 
 def delegation(predictions: DataFrame, *ties, order: tuple[str, ...] = DEFAULT_ORDER, keys: list[str] = SELECT_KEY, methods: Column | None = None) -> DataFrame:
     """Per symbol the annotation of the first agent in order that has one; symbols with nulls only stay, unresolved, with
-    the agents that have any row joined by + as their method: one name each, which the driver asks for. One shuffle."""
-    if methods is None:
-        there = {r["agent"] for r in predictions.filter(F.col("agent").isin(*order)).select("agent").distinct().collect()}
-        methods = F.lit("+".join(a for a in order if a in there))
-    agents = methods
+    the agents that have any row joined by + as their method. One shuffle, and beside it one row that says which agents there are, of the
+    agents' column alone."""
+    said = predictions.filter(F.col("agent").isin(*order))
     w = Window.partitionBy(*keys).orderBy(F.col("anno").isNull(), _rank(order), *ties)
-    best = predictions.filter(F.col("agent").isin(*order)).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    return best.withColumn("method", F.when(F.col("anno").isNull(), agents).otherwise(F.col("agent"))).select(*keys, "anno", "method")
+    best = said.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    if methods is None:
+        there = said.agg(*(F.max(F.col("agent") == a).alias(f"__a{k}") for k, a in enumerate(order)))
+        best = best.crossJoin(F.broadcast(there))  # one row
+        methods = F.concat_ws("+", *(F.when(F.col(f"__a{k}"), a) for k, a in enumerate(order)))
+    return best.withColumn("method", F.when(F.col("anno").isNull(), methods).otherwise(F.col("agent"))).select(*keys, "anno", "method")
 
 
 def restored(resolved: DataFrame, reference: DataFrame, keys: list[str] = SELECT_KEY, method: str = "") -> DataFrame:

@@ -36,6 +36,25 @@ def unique_only(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("__n", n).filter("__n = 1").drop("__n")
 
 
+def assert_unique(df: DataFrame, keys: list[str], where: Column | None = None) -> DataFrame:
+    """df as it is; a key that stands twice (among rows that `where` holds for) fails the job that reads it, with the key in the error.
+    The count is a window, so it costs a shuffle only where rows aren't dealt by their keys already."""
+    hit = F.lit(1) if where is None else F.when(where, 1)
+    said = F.concat_ws(", ", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in keys))
+    n = F.count(hit).over(Window.partitionBy(*keys))
+    checked = df.withColumn("__n", n).withColumn("__ok", F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("a key stands more than once: "), said)).cast("boolean")).otherwise(True))
+    return checked.filter("__ok").drop("__n", "__ok")
+
+
+def best_of(df: DataFrame, keys: list[str], n: int, name: str = "anno", score: str = "logprob") -> DataFrame:
+    """Per key the n likeliest of its (name, score) rows as an array `best` like that of top_of_distribution, and no other row: tasks
+    keep n rows of a key before they shuffle, so a key with any number of rows costs n a task. Of equal scores the larger name comes first."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(score), F.desc_nulls_last(name)))
+    kept = df.select(*keys, F.col(name).alias("anno"), F.col(score).alias("logprob")).withColumn("__n", place).filter(F.col("__n") <= n)
+    lists = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__n", "anno", "logprob"))).alias("__l"))
+    return lists.select(*keys, top_of_distribution(F.col("__l"), n).alias("best"))
+
+
 def conflicts(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that stand more than once, with their number."""
     return df.groupBy(*keys).count().filter("count > 1")

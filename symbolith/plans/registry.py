@@ -28,8 +28,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _best(spark, d):
-    return select.first_per(pred(spark, d), ["file", "category", "qname_ssa"], "topn", "p", "s")
+def _best(spark, d, keys=_KEYS):
+    """The best prediction of each symbol, dealt by the keys that it is joined by next; qname follows from qname_ssa."""
+    return select.first_per(pred(spark, d), keys, "topn", "p", "s")
 
 
 @query(f"WITH {PRED}, {TOP} SELECT file, category, qname, qname_ssa, anno FROM best")
@@ -122,10 +123,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY logprob DESC, anno DE
 SELECT c.k, i AS topn, coalesce(r.anno, 'typing.Any') AS anno, coalesce(r.logprob, -1000.0e0) AS logprob
 FROM (SELECT DISTINCT k FROM o) c CROSS JOIN (SELECT unnest([1, 2, 3]) AS i) LEFT JOIN r ON r.k = c.k AND r.n = i""")
 def q14_top_of_distribution(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.struct(F.col("o_orderpriority").alias("anno"), F.col("o_totalprice").alias("logprob")).alias("e"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("anno"), F.col("o_totalprice").alias("logprob"))
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
-    lists = c.join(o, "k", "left").groupBy("k").agg(F.collect_list("e").alias("dist"))
-    best = lists.select("k", select.top_of_distribution(F.col("dist"), 3).alias("best"))
+    best = c.join(select.best_of(o, ["k"], 3), "k", "left").withColumn("best", F.coalesce("best", select.top_of_distribution(F.expr("cast(array() as array<struct<anno:string,logprob:double>>)"), 3)))
     return select.ranked(best, "best", "e").select("k", "topn", "e.anno", "e.logprob")
 
 
@@ -152,7 +152,7 @@ def q17_usable_arguments(spark, d):
 UNION ALL SELECT t.file, t.category, t.qname_ssa, t.anno FROM best t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.file = t.file AND b.category = t.category AND b.qname_ssa = t.qname_ssa)""")
 def q18_baseline_alignment(spark, d):
     keys = ["file", "category", "qname_ssa"]
-    return align.merged_with_baseline(_best(spark, d).select(*keys, "anno"), base(spark, d).select(*keys, "anno"), "anno").select(*keys, "anno")
+    return align.merged_with_baseline(_best(spark, d, keys).select(*keys, "anno"), base(spark, d).select(*keys, "anno"), "anno").select(*keys, "anno")
 
 
 @query("""SELECT cast(conv_id AS varchar) AS file, 'f' || cast(conv_id % 3 AS varchar) AS function, string_agg(role || ':' || CASE WHEN turn % 3 = 0 THEN '?' ELSE 'int' END, ',' ORDER BY turn) AS parameters FROM conversations GROUP BY 1, 2""")

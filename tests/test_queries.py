@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import symbolith.plans.resolve_queries  # noqa: F401
 import symbolith.plans.shape_queries  # noqa: F401
 import symbolith.plans.tree_queries  # noqa: F401
 from symbolith.plans.registry import ORACLE_SQL, QUERIES
