@@ -15,7 +15,7 @@ from ..shipping import ship
 from .numbering import number
 from .scopes import Scope, Scopes
 
-SCHEMA = "file string, category string, qname string, anno string, simple_name string, labelled string, inferred string, loop int, reassigned int, nested int, branching int, ord long, error string"
+SCHEMA = "file string, category string, qname string, anno string, simple_name string, labelled string, inferred string, loop int, reassigned int, nested int, branching int, ord long, error string, warning string"
 
 
 class Module:
@@ -163,6 +163,10 @@ class Module:
 
     # statements
 
+    def skip(self, s: ast.stmt) -> None:
+        """A statement that binds something, but gives no row."""
+        self.skipped.append((s.lineno, ast.unparse(s)))
+
     def body(self, statements: list[ast.stmt]) -> None:
         for s in statements:
             self.statement(s)
@@ -209,6 +213,8 @@ class Module:
             self.scope.pop()
         elif isinstance(s, ast.AnnAssign):
             name, anno = self.target(s.target), self.anno(s.annotation)
+            if name is None:
+                self.skip(s)
             if name is None or not self.free(name):
                 return
             if s.value is None and not in_class:
@@ -224,9 +230,14 @@ class Module:
                 name = self.target(s.targets[0])
                 if name is not None and (in_class or not ellipsis):
                     self.bind(name, False, s.targets[0])
+                else:
+                    self.skip(s)
             else:
-                for name, node in self.targets(s.targets):
+                found = self.targets(s.targets)
+                for name, node in found:
                     self.bind(name, True, node)
+                if not found:
+                    self.skip(s)
         elif isinstance(s, ast.AugAssign):
             for name, node in self.targets([s.target]):
                 self.bind(name, True, node)
@@ -257,8 +268,9 @@ class Module:
                 self.block(case.body)
 
 
-def symbols(sources: DataFrame, lax: bool = False) -> DataFrame:
-    """sources: file, code. The symbols of all files; a file that can't be parsed gives one row with an error and no symbol."""
+def symbols(sources: DataFrame, lax: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """sources: file, code. The symbols of all files; a file without code, or that can't be parsed, gives one row with an error and no symbol,
+    and a statement that no form of hint fits one with a warning and no symbol. keep: columns of sources that each row gets too."""
 
     def over(batches):
         import pyarrow as pa
@@ -266,29 +278,46 @@ def symbols(sources: DataFrame, lax: bool = False) -> DataFrame:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[c.split()[1]] for c in SCHEMA.split(", ")]
         for batch in batches:
-            rows = []
-            for file, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, at = [], []
+            for place, (file, code) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 try:
-                    found = Module(code or "", file, lax).symbols
+                    if code is None:
+                        raise ValueError("no code")
+                    module = Module(code, file, lax)
+                    rows += [(file, *s, k, None, None) for k, s in enumerate(module.symbols)]
+                    rows += [(file, *[None] * 12, f"line {line}: no symbol in {text}") for line, text in module.skipped]
                 except (SyntaxError, ValueError, RecursionError) as error:
-                    rows.append((file, *[None] * 9, None, None, str(error)))
-                    continue
-                rows += [(file, *s, k, None) for k, s in enumerate(found)]
+                    rows.append((file, *[None] * 11, str(error), None))
+                at += [place] * (len(rows) - len(at))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            kept = [batch.column(2 + k).take(pa.array(at, pa.int64())) for k in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *kept], [*names, *(f"kept_{c}" for c in keep)])
 
     ship(sources.sparkSession)
-    return sources.select("file", "code").mapInArrow(over, SCHEMA)
+    more = "".join(f", kept_{c} {sources.schema[c].dataType.simpleString()}" for c in keep)
+    return sources.select("file", "code", *keep).mapInArrow(over, SCHEMA + more)
 
 
 def annotated_symbols(sources: DataFrame, lax: bool = False) -> DataFrame:
     """file, category, qname, qname_ssa, anno, ord."""
-    return number(symbols(sources, lax).filter("error is null")).select("file", "category", "qname", "qname_ssa", "anno", "ord")
+    return number(symbols(sources, lax).filter("category is not null")).select("file", "category", "qname", "qname_ssa", "anno", "ord")
 
 
 def context_vectors(sources: DataFrame, features: tuple[str, ...] = ("loop", "reassigned", "nested", "builtin", "branching")) -> DataFrame:
     """Annotated symbols with flags (0 for features that aren't asked for) and the category's code."""
-    found = number(symbols(sources).filter("error is null")).withColumn("builtin", is_builtin(F.col("labelled")))
+    found = number(symbols(sources).filter("category is not null")).withColumn("builtin", is_builtin(F.col("labelled")))
     code = F.create_map(*(F.lit(x) for kv in CONTEXT_CODES.items() for x in kv))[F.col("category")]
     flags = [(F.col(f) if f in features else F.lit(0)).cast("int").alias(f) for f in ("loop", "reassigned", "nested", "builtin", "branching")]
     return found.select("file", "category", "qname", "qname_ssa", F.col("labelled").alias("anno"), "simple_name", *flags, code.alias("ctxt_category"), "ord")
+
+
+#: What a logged extraction has besides project, file and messages.
+SYMBOL_COLUMNS = ["category", "qname", "qname_ssa", "anno", "ord"]
+
+
+def logged_symbols(sources: DataFrame, lax: bool = False) -> DataFrame:
+    """sources: project, file, code, error (of the scan). Annotated symbols with their project, and a row for each message: of a file that can't be
+    read or parsed, an error, of a statement that gives no symbol, a warning. One pass; to be written by runs.write_logged."""
+    found = number(symbols(sources, lax, ("project", "error")), by=("kept_project", "file"))
+    told = F.when(F.col("error").isNotNull(), F.coalesce("kept_error", "error"))
+    return found.select(F.col("kept_project").alias("project"), "file", *SYMBOL_COLUMNS, told.alias("error"), "warning")

@@ -62,7 +62,7 @@ def by_symbol(resolver: SymbolResolver, predictions: DataFrame, reference: DataF
     symbols that it lacks don't count, and of several of an agent with one rank `ties` tell the order. Keys, anno, method."""
     ship(reference.sparkSession)
     rank = F.coalesce(*(F.when(F.col("agent") == a, k) for k, a in enumerate(order)))
-    said = predictions.withColumn("__rank", rank).filter("__rank is not null").select(*keys, "__rank", "topn", *ties, "anno", "method")
+    said = predictions.withColumn("__rank", rank).filter("__rank is not null").select(*keys, "__rank", "topn", *(t for t in ties if t not in ("anno", "method")), "anno", "method")
     symbols = reference.select(*keys, F.lit(-1).alias("__rank"))
     n = int(reference.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = symbols.unionByName(said, allowMissingColumns=True).repartition(n, *keys).sortWithinPartitions(*keys, "__rank", "topn", *ties).select(*keys, "__rank", "topn", "anno", "method")

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import extract, rewrite
+from ..operators import compare, extract, rewrite
 from ..session import shared_dir, table
-from ..sources import scans, sinks
+from ..sources import runs, scans, sinks
 from .registry import query
 
 #: Where a customer's file lies: names that begin with _ or a dot, blanks, signs of URLs, nested folders; every eleventh is empty.
@@ -96,3 +96,54 @@ def q68_scoped_annotations(spark, d):
 @query(f"""SELECT 'd/c' || c_custkey || '.py' AS file, CASE c_custkey % {len(SHAPES)} {' '.join(f'WHEN {k} THEN {_filled_sql(bare)}' for k, (_, _, bare) in enumerate(SHAPES))} END AS code, CAST(NULL AS VARCHAR) AS error FROM customer""")
 def q69_strip_shapes(spark, d):
     return rewrite.strip_sources(_shapes(spark, d))
+
+
+_RUN = "SELECT 'f' || o_orderkey % 5 AS file, 'VARIABLE' AS category, 'x' || o_orderkey AS qname, 'x' || o_orderkey AS qname_ssa, o_orderstatus AS anno, o_orderpriority AS method, 1 AS topn, 'a.' || o_custkey % 40 AS project FROM orders"
+
+
+@query(f"""WITH r AS ({_RUN}) SELECT file, category, qname, qname_ssa, CASE WHEN project LIKE '%7' THEN 'again' ELSE anno END AS anno, method, topn, 'm' AS tool, 'CALLABLE_RETURN,VARIABLE' AS removed, 'VARIABLE' AS inferred, project FROM r""")
+def q74_output_by_project(spark, d):
+    """Projects of even numbers are there first; then all are written, of which those are skipped, and at last some replace theirs."""
+    root = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    o, n = table(spark, d, "orders"), F.col("o_custkey") % 40
+    name = F.concat(F.lit("x"), "o_orderkey")
+    rows = o.select(
+        F.concat(F.lit("f"), F.col("o_orderkey") % 5).alias("file"), F.lit("VARIABLE").alias("category"), name.alias("qname"), name.alias("qname_ssa"), F.col("o_orderstatus").alias("anno"),
+        F.col("o_orderpriority").alias("method"), F.lit(1).alias("topn"), F.concat(F.lit("a."), n).alias("project"),
+    )
+    run = runs.of_run(rows, "m", ["VARIABLE", "CALLABLE_RETURN"], ["VARIABLE"])
+    even = F.substring_index("project", ".", -1).cast("int") % 2 == 0
+    runs.write_run(run.filter(even), root, runs.ERROR)
+    runs.write_run(run.withColumn("anno", F.when(even, "lost").otherwise(F.col("anno"))), root, runs.SKIP)
+    runs.write_run(run.filter(F.col("project").endswith("7")).withColumn("anno", F.lit("again")), root, runs.REPLACE)
+    return runs.read_run(spark, root)
+
+
+@query("""SELECT o_orderpriority AS method, 'f' AS file, 'x' || o_orderkey AS qname_ssa, o_orderstatus AS anno_gt, CASE WHEN o_orderkey % 3 > 0 THEN 'F' END AS anno_ta, CASE WHEN o_orderkey % 3 = 0 THEN -1 WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS score,
+0 AS loop, 1 AS reassigned, 0 AS nested, 1 AS builtin, 3 AS ctxt_category FROM orders""")
+def q75_training_ledger(spark, d):
+    """Three batches, each of which is appended twice."""
+    root = f"{shared_dir(spark)}/training-{uuid.uuid4().hex}"
+    key = [F.lit("f").alias("file"), F.lit("VARIABLE").alias("category"), F.concat(F.lit("x"), "o_orderkey").alias("qname"), F.concat(F.lit("x"), "o_orderkey").alias("qname_ssa")]
+    o = table(spark, d, "orders")
+    truth = o.select(*key, F.col("o_orderstatus").alias("anno"))
+    for k in (0, 1, 2, 1, 0, 2):
+        flags = [F.lit(v).alias(c) for c, v in (("loop", 0), ("reassigned", 1), ("nested", 0), ("builtin", 1), ("ctxt_category", 3))]
+        context = o.filter(F.col("o_orderkey") % 3 == k).select(*key, F.when(F.col("o_orderkey") % 3 > 0, "F").alias("anno"), F.col("o_orderpriority").alias("method"), *flags)
+        runs.append_once(compare.training_rows(truth, context), root, f"part-{k}")
+    return runs.training_set(spark, root)
+
+
+@query("""SELECT 'p' || c_nationkey AS project, 'm/' || c_custkey || '.py' AS file, CASE c_custkey % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'error' ELSE 'warning' END AS level,
+CASE c_custkey % 4 WHEN 0 THEN 'invalid syntax (<unknown>, line 2)' WHEN 1 THEN 'can''t read ' || c_name ELSE 'line 2: no symbol in a[' || c_custkey || '] = ''' || c_name || '''' END AS message FROM customer WHERE c_custkey % 4 < 3""")
+def q76_messages(spark, d):
+    """Extraction of files of which some can't be read, some aren't Python, and some bind what is no symbol; one pass writes symbols and messages."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    code = F.when(k % 4 == 0, "x = 1\ndef (").when(k % 4 == 2, F.concat(F.lit("x: int = 1\na["), k, F.lit("] = '"), name, F.lit("'\n"))).when(k % 4 == 3, "y = 2\n")
+    files = table(spark, d, "customer").select(
+        F.concat(F.lit("p"), "c_nationkey").alias("project"), F.concat(F.lit("m/"), k, F.lit(".py")).alias("file"), code.alias("code"), F.when(k % 4 == 1, F.concat(F.lit("can't read "), name)).alias("error")
+    )
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    told = runs.write_logged(extract.logged_symbols(files), path, extract.SYMBOL_COLUMNS)
+    found = runs.messages(spark, path)
+    return found.filter(F.lit(told["failure"] + told["warning"]) > 0)

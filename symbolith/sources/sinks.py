@@ -6,14 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import ANNOTATED, CONTEXT, PREDICTIONS, TRAINING, assert_schema
+from ..schemas import ANNOTATED, CONTEXT, PREDICTIONS, assert_schema
 from .tree import Local, store
 
 
-def prediction_path(root: str, tool: str, removed: list[str], inferred: list[str], project: str) -> str:
-    return f"{root}/{tool}@[{','.join(removed)}]+[{','.join(inferred)}]/{project}"
-
-
 def _write(df: DataFrame, path: str, schema: T.StructType, kind: str, exists: str) -> None:
     """Columns are picked by name, never by place. exists: ignore, errorifexists, overwrite or append."""
     out = df.select(*schema.names).write.mode(exists)
@@ -28,10 +24,6 @@ def write_context_vectors(df: DataFrame, path: str, kind: str = "parquet", exist
     _write(df, path, CONTEXT, kind, exists)
 
 
-def append_training_rows(df: DataFrame, path: str) -> None:
-    _write(df, path, TRAINING, "parquet", "append")
-
-
 def write_json_lines(df: DataFrame, path: str) -> None:
     """Compressed JSON lines without null fields."""
     df.write.option("compression", "gzip").option("ignoreNullFields", "true").json(path)
@@ -81,5 +73,5 @@ def updated(collection: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def tallies(df: DataFrame, error: str = "error") -> DataFrame:
-    """How many rows came out well and how many with an error."""
+    """How many rows came out well and how many with an error. runs.tallied counts four states in the pass that writes the rows."""
     return df.groupBy(F.when(F.col(error).isNull(), "ok").otherwise("failed").alias("status")).count()

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from symbolith import schemas
 from symbolith.functions import scalars as S
 from symbolith.operators import align, compare, extract, resolve, rewrite, select
-from symbolith.sources import scans, sinks
+from symbolith.sources import runs, scans, sinks
 from symbolith.streaming.labelling import label_stream
 
+# The four golden cases state what voting decides in general: equal votes, a subtype's support, mutual attack, support from below. Fixed values.
 TYPES = {"bool": ["int"], "int": [], "str": [], "float": [], "bytes": [], "bytearray": [], "IntSub": ["int"], "StrSub": ["str"]}
 GOLDEN = [
     ((("str",), ("str",), ("int",)), "str"),
@@ -154,7 +155,7 @@ def test_label_stream(spark, tmp_path):
     truth = spark.createDataFrame([("f", "VARIABLE", "q", "q", "int")], schemas.ANNOTATED)
     for _ in range(2):  # what is labelled once isn't again
         label_stream(spark, str(tmp_path / "in"), truth, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
-    assert [r.score for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+    assert [r.score for r in runs.training_set(spark, str(tmp_path / "out")).collect()] == [1]
 
 
 def test_cursor_match_of_one_table_with_itself_can_be_counted(spark):
