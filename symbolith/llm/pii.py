@@ -14,6 +14,7 @@ result; other columns don't matter. Offsets count code points, ends are exclusiv
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,17 +104,36 @@ def detect(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score), by kind in the order of KINDS, then start."""
     if not text or not _ANY.search(text):
         return []
-    found, taken = [], []
-    for kind, start, end, confirmed in _proposed(text):
+    found, taken, free = [], [], None
+    for kind, start, end, confirmed in _proposed(text):  # the base kinds come first
         score = _score(text, kind, start, end, confirmed)
         if kind in BASE:
             taken.append((start, end))
-        elif score < THRESHOLD or any(a < end and start < b for a, b in taken):
-            continue
+        else:
+            free = free or _Free(taken)
+            if score < THRESHOLD or not free(start, end):
+                continue
         found.append((kind, start, end, score))
     return found
 
 
+class _Free:
+    """Whether a span meets none of the given ones, which are joined where they overlap."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def __call__(self, start: int, end: int) -> bool:
+        at = bisect_right(self.ends, start)
+        return at == len(self.starts) or self.starts[at] >= end
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id, text and spans (kind, start, end, score)."""
     ship(docs.sparkSession)

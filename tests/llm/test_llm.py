@@ -470,3 +470,25 @@ def test_pipeline(spark, sf, empty):
     ids = {r.doc_id for r in out}
     assert not ids & {7, 9, 12, 4, 30, 35, 40, 41, 100} and all(r.token_ids for r in out)
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_pii_takes_linear_time():
+    """Texts that are dense in spans of both sorts."""
+    import time
+
+    text = "call 743 555 3824 and a@b.co, +1 743 555 3824 " * 22_000
+    assert len(text) > 1_000_000
+    began = time.perf_counter()
+    assert len(pii.detect(text)) == 66_000
+    assert time.perf_counter() - began < 10
+
+
+def test_added_spans_are_apart_from_base_spans():
+    r = random.Random(3)
+    parts = ["call 743 555 3824", "a@b.co", "10.0.0.1", "+1 (743) 555-3824", "4111 1111 1111 1111", "DE89370400440532013000", "tel 743-555-3824", "x", " ", "phone"]
+    for _ in range(300):
+        text = "".join(r.choice(parts) + r.choice([" ", "", ", "]) for _ in range(12))
+        found = pii.detect(text)
+        base = [(s, e) for k, s, e, _ in found if k in pii.BASE]
+        want = [(k, s, e) for k, s, e, c in pii._proposed(text) if k not in pii.BASE and pii._score(text, k, s, e, c) >= pii.THRESHOLD and not any(a < e and s < b for a, b in base)]
+        assert [x[:3] for x in found if x[0] not in pii.BASE] == want
