@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -72,5 +73,20 @@ def display_sample(df: DataFrame, *order, n: int = 20, seed: int = 0) -> DataFra
 
 
 def string_list(text: Column) -> Column:
-    """The list that a text such as ['a', "b"] writes out; null for anything else."""
-    return F.from_json(text, "array<string>", {"allowSingleQuotes": "true"})
+    """The strings (and nulls, of None) that a list or tuple written in Python holds, such as ['a', "b"] or ('a',); null for anything
+    else. For old tables: what this package writes has arrays."""
+
+    def literal(text: str | None) -> list[str | None] | None:
+        try:
+            found = ast.literal_eval((text or "").strip())
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+        return list(found) if isinstance(found, (list, tuple)) and all(x is None or isinstance(x, str) for x in found) else None
+
+    @F.arrow_udf("array<string>")  # needs nothing of this package on the executors
+    def parsed(column):
+        import pyarrow as pa
+
+        return pa.array(map(literal, column.to_pylist()), pa.list_(pa.string()))
+
+    return parsed(text)

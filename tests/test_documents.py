@@ -33,6 +33,12 @@ def test_cursor_against_a_plain_search():
     assert align.greedy_cursor(["z"] * 200_000, ["a"] * 200_000) == [-1] * 200_000  # no scan for each miss
 
 
+def test_literals(spark):
+    cases = [("[None, 'a']", [None, "a"]), ("('a',)", ["a"]), ("()", []), ("['it\\'s', \"b\", r'c']", ["it's", "b", "c"]), (" ['\\u00e9' 'x'] ", ["éx"]), ("[1]", None), ("{'a'}", None), ("['a'", None), ("f()", None), ("'a'", None), ("", None), (None, None), ("[" * 5000, None)]
+    got = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string").select("k", documents.string_list(F.col("t")).alias("l")).orderBy("k").collect()
+    assert [r.l for r in got] == [w for _, w in cases]
+
+
 def test_frames(spark):
     code = "class C:\n    def m(self, a: int, b=1) -> str:\n        if a: return b\n        return 'x'\ndef g(*args, **kw) -> None:\n    return kw\nasync def h(q: Any): pass\n"
     sources = spark.createDataFrame([("x.py", code), ("bad.py", "def"), ("none.py", None)], "file string, code string")

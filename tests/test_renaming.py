@@ -9,27 +9,26 @@ import pytest
 from symbolith.operators import predict, renaming
 from symbolith.sources import scans
 
-HINTED = "m: int | None\nif c:\n    m = 5\nelse:\n    m = None\nfor m in y:\n    with o as m:\n        m += 1\n"
+#: A hint over a try with two handlers, of which one has a hint of its own, and a loop.
+HINTED = "size: float\ntry:\n    size = load()\nexcept KeyError:\n    size: str\n    size = '?'\nexcept OSError:\n    size = 0\nfor row, size in table:\n    size -= 1\n"
 
 
 def test_numbered_names():
-    code = 'x = 10\nx = "é"; x = 2\n[u, (v, *w)] = 1, 5\ndef g(x):\n    global u\n    u = 2\nclass K:\n    n: int\n    def f(self):\n        self.q: int\n        self.q = self.x or 1\nz: str\n'
-    want = 'xλ1 = 10\nxλ2 = "é"; xλ3 = 2\n[uλ1, (vλ1, *wλ1)] = 1, 5\ndef g(x):\n    global u\n    u = 2\nclass K:\n    nλ1: int\n    def f(self):\n        self.qλ1: int\n        self.qλ1 = self.x or 1\nz: str\n'
+    code = "import math\nclass Shop:\n    open: bool = True\n    def sell(self, item, *, price=1):\n        tax = price / 5; price += tax\n        with till() as (drawer, key):\n            self.sold: list\n            self.sold = [item, drawer]\n        label = key\n        for tax in ():\n            del tax\nopen = math.pi\nopen: float\n"
+    want = "import math\nclass Shop:\n    openλ1: bool = True\n    def sell(self, item, *, price=1):\n        taxλ1 = price / 5; priceλ1 += tax\n        with till() as (drawerλ1, keyλ1):\n            self.soldλ1: list\n            self.soldλ1 = [item, drawer]\n        labelλ1 = key\n        for taxλ2 in ():\n            del tax\nopenλ1 = math.pi\nopen: float\n"
     assert renaming.numbered(code) == want
     assert renaming.plain(want) == code
     with pytest.raises(ValueError):
-        renaming.numbered("xλ1 = 2")
+        renaming.numbered("class A:\n    bλ2 = 3")
 
 
 def test_lowered_hints():
     marked = renaming.lowered(HINTED)
-    assert marked.count(renaming.MARKER) == 4
-    assert f"else:\n    m: int | None = {renaming.MARKER}; m = None\n" in marked
-    assert "for mλ3 in y:\n    mλ4: int" in renaming.numbered(marked)
+    assert f"    size: float = {renaming.MARKER}; size = load()\n" in marked and f"    size: str = {renaming.MARKER}; size -= 1" in marked  # a handler's hint stays in force
     assert renaming.unlowered(renaming.plain(renaming.numbered(marked))) == HINTED
-    own = "m: int = 1\nif c:\n    m: int = 2\n    m = 3\nm = 4\n"
+    own = "def f():\n    rate: int = 1\n    while rate:\n        rate: int = 2\n        rate = 3\n"
     assert renaming.lowered(own) == own
-    assert renaming.unlowered(f"if c:\n    m: int = {renaming.MARKER}\nn = 1\n") == "if c:\n    pass\nn = 1\n"
+    assert renaming.unlowered(f"while t:\n    key: int = {renaming.MARKER}\nend = 1\n") == "while t:\n    pass\nend = 1\n"
 
 
 def test_round_trips_of_real_sources():
