@@ -106,6 +106,15 @@ def test_language_profiles_against_brute_force(spark, corpus):
         assert g.lang_pred in cosine and abs(cosine[g.lang_pred] - max(cosine.values())) < 1e-4 and abs(g.score - cosine[g.lang_pred]) < 1e-4
 
 
+#: Queries whose rows aren't documents.
+OTHER_ROWS = ("op7_html", "op8_passages", "op11_filter_audit", "op12_topk")
+
+
+def tables_beside(spark, folder):
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+
+
 def test_texts_of_some_million_characters(spark, tmp_path):
     """Every query over long texts: one of many words, its copy with a word changed, one word without an end, and one line repeated."""
     r = random.Random(2)
@@ -116,8 +125,11 @@ def test_texts_of_some_million_characters(spark, tmp_path):
     spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     page = "<html><body><nav><a href=x>Home</a></nav><article>" + "".join(f"<p>{' '.join(long[k : k + 60])}." for k in range(0, 120_000, 60)) + "</article></body></html>"
     spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    tables_beside(spark, tmp_path)
     found = {name: run(spark, str(tmp_path)).collect() for name, run in registry.QUERIES.items()}
-    assert all(len(found[n]) == len(texts) for n in found if n not in ("op7_html", "op8_passages"))
+    assert all(len(found[n]) == len(texts) for n in found if n not in OTHER_ROWS)
+    assert [g.kept for g in sorted(found["op11_filter_audit"], key=lambda g: g.step) if g.filter_order == "ABCDE"][:2] == [3, 0]  # long texts that repeat their words
+    assert all(g.n_a > 100_000 and g.n_b > 100_000 and g.groups_sha256 for g in found["op13_align_tokens"] if g.doc_id < 4)
     assert found["op7_html"][0].n_chars > 700_000 and not found["op7_html"][0].text.startswith("Home")
     spans = {g.doc_id: (g.start_word, g.end_word, g.other_id) for g in found["op8_passages"]}
     assert spans[1] == (0, 250_000, 0)
@@ -131,7 +143,8 @@ def test_files_of_short_texts_only(spark, tmp_path):
     rows = [(k, t, "en", "s", 1) for k, t in enumerate(["a b", "", None, "a b", "c"])]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
     frame.write.parquet(f"{tmp_path}/documents.parquet")
+    tables_beside(spark, tmp_path)
     for name, run in registry.QUERIES.items():
-        if name not in ("op7_html", "op8_passages"):
+        if name not in OTHER_ROWS:
             assert run(spark, str(tmp_path)).count() == 5, name
     assert [(g.kind, g.doc_id, g.other_id) for g in registry.QUERIES["op8_passages"](spark, str(tmp_path)).orderBy("doc_id").collect()] == [("copy", 2, 1), ("copy", 3, 0)]
