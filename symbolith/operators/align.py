@@ -37,7 +37,8 @@ def nth_with_nth(targets: DataFrame, annotations: DataFrame, keys: list[str] = [
     """The n-th target of a name with its n-th annotation; targets without one keep null."""
     w = Window.partitionBy(*keys).orderBy(order)
     a = annotations.withColumn("n", F.row_number().over(w)).select(*keys, "n", "anno")
-    return targets.withColumn("n", F.row_number().over(w)).join(a, [*keys, "n"], "left")
+    # Spark guesses from the bytes of sources how many rows extraction gives, far too few: without the hint it sends them all through the driver
+    return targets.withColumn("n", F.row_number().over(w)).join(a.hint("merge"), [*keys, "n"], "left")
 
 
 def first_match(left: DataFrame, right: DataFrame, keys: list[str], *order) -> DataFrame:

@@ -159,7 +159,7 @@ _LOWERED = _HINTED.replace("    v = 1", f"    v: int = {renaming.MARKER}; v = 1"
 def q49_lowered_hints(spark, d):
     there = renaming.lowered_sources(_programs(spark, d, _HINTED))
     back = renaming.plain_sources(renaming.unlowered_sources(renaming.numbered_sources(there)))
-    return there.select("file", "code").join(back.select("file", F.col("code").alias("back")), "file")
+    return there.select("file", "code").join(back.select("file", F.col("code").alias("back")).hint("merge"), "file")
 
 
 def _argument_types(file: str, code: str):

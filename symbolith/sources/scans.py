@@ -144,4 +144,4 @@ def type_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 def with_stubs(code: DataFrame, stubs: DataFrame) -> DataFrame:
     """code with the text of each file's stub, null without one."""
     named = stubs.select(F.regexp_replace("file", r"\.pyi$", ".py").alias("file"), F.col("code").alias("stub"))
-    return code.join(named, "file", "left")
+    return code.join(named.hint("merge"), "file", "left")  # never a broadcast: Spark guesses far too few bytes for texts
