@@ -2,7 +2,8 @@
 
 import pytest
 
-from symbolith.plans import registry
+from symbolith.operators import edits, rewrite
+from symbolith.plans import registry, source_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,3 +13,13 @@ def test_what_comes_of_files_is_never_broadcast(spark, name):
     """Spark guesses the size of rows that Python functions give from the bytes that these read; at 90,000 files it still sent all through the driver."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_stubs_need_one_walk_and_no_tokens(monkeypatch):
+    walks = []
+    real = rewrite.Applier.__init__
+    monkeypatch.setattr(rewrite.Applier, "__init__", lambda self, *a: (walks.append(a), real(self, *a))[1])
+    monkeypatch.setattr(edits, "Tokens", None)
+    fill = lambda text: text.replace("NAME", "7")
+    assert rewrite.apply_stub(fill(source_queries._LARGE), fill(source_queries._STUB)) == fill(source_queries._STUBBED)
+    assert len(walks) == 1
